@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash_dedup import near_duplicates
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 
@@ -22,8 +23,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op5_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_sharding, op8_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
