@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import digests, encode_decode
 from .minhash_dedup import near_duplicates
+from .packed_tokens import packed_tokens
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 
@@ -19,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode_decode(_docs(spark, sf_dir)))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
@@ -27,8 +33,12 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_tokens(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op5_sharding, op8_minhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op5_sharding, op8_minhash_dedup, op10_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
