@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digests, encode_decode
+from .embedding_dedup import near_vectors
 from .minhash_dedup import near_duplicates
 from .packed_tokens import packed_tokens
 from .quality_rules import quality_rules
@@ -29,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
@@ -38,7 +43,7 @@ def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op5_sharding, op8_minhash_dedup, op10_packed_tokens)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op5_sharding, op7_embedding_dedup, op8_minhash_dedup, op10_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
