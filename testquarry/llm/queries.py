@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import unsigned_crc
 from .bpe import digests, encode_decode
 from .embedding_dedup import near_vectors
+from .langid import identify, train
 from .minhash_dedup import near_duplicates
 from .packed_tokens import packed_tokens
 from .quality_rules import quality_rules
@@ -26,6 +29,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_docs(spark, sf_dir)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held_out = F.coalesce(unsigned_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
+    model = train(docs, ~held_out)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
@@ -43,7 +54,7 @@ def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op5_sharding, op7_embedding_dedup, op8_minhash_dedup, op10_packed_tokens)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_language_id, op5_sharding, op7_embedding_dedup, op8_minhash_dedup, op10_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
