@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Forest, block_pairs, sorted_groups
 from .common import connected_components, materialize
-from .textkernels import U, chunks, lower_ascii, mix, shingle_sets
+from .textkernels import CHUNK, U, chunks, lower_ascii, mix, packed, shingle_sets
 
 WIDTH = 5
 #: Links have 100 * intersection >= SIMILAR * union.
@@ -21,6 +21,8 @@ ROWS, BANDS = 5, 40
 #: Pairs of one bucket whose sketches agree in less than this share are taken as too far
 #: apart in the search that follows the stars: 4 deviations below SIMILAR for 200 bins.
 LEAST_AGREED = 0.62
+#: Most ids that are broadcast, 8 bytes each.
+BROADCAST_IDS = 4_000_000
 
 _SEEDS = mix(np.arange(1, ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -91,11 +93,28 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(pairs: pa.RecordBatch) -> np.ndarray:
+    """Rows of a batch of text pairs whose full shingle sets are similar enough."""
+    n, keep, first = pairs.num_rows, [], 0
+    sizes = np.maximum(np.diff(packed(pairs["a"])[1]), np.diff(packed(pairs["b"])[1]))
+    ends = np.cumsum(sizes)
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK, "right")))
+        sides = []
+        for name in ("a", "b"):
+            data, at = packed(pairs[name].slice(first, last - first))
+            sides.append(shingle_sets(lower_ascii(data), at, WIDTH))
+        (x, fx), (y, fy) = sides
+        both = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(fx[:-1], fx[1:], fy[:-1], fy[1:])])
+        keep.append(100 * both >= SIMILAR * (np.diff(fx) + np.diff(fy) - both))
+        first = last
+    return np.concatenate(keep) if keep else np.zeros(0, bool)
+
+
+def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, at in chunks(batch["text"]):
-            sets, offsets = shingle_sets(lower_ascii(data), at, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), _lists(sets.view(np.int64), offsets)], names=["doc_id", "shingles"])
+        ok = pa.array(_shared(batch))
+        yield pa.RecordBatch.from_arrays([batch["center"].filter(ok), batch["doc_id"].filter(ok)], names=["center", "doc_id"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], tree: bool) -> Iterator[pa.RecordBatch]:
@@ -127,15 +146,18 @@ def _likely(batches: Iterator[pa.RecordBatch], tree: bool) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["center", "doc_id"])
 
 
-def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (center, doc_id) whose full sets are similar enough."""
-    left = sets.select("doc_id", F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc_id").alias("center"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("long")
-    return (
-        edges.select("center", "doc_id").join(left, "doc_id").join(right, "center")
-        .where(100 * both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("center", "doc_id")
-    )
+def _verified(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """Edges (center, doc_id), from a written table, whose full sets are similar enough.
+
+    Only texts that an edge names are shuffled. Their ids are broadcast where there are at
+    most BROADCAST_IDS; otherwise the texts meet the edges in sorted joins.
+    """
+    ids = edges.select("doc_id").unionByName(edges.select(F.col("center").alias("doc_id"))).distinct()
+    if edges.count() * 2 <= BROADCAST_IDS:
+        documents = documents.join(F.broadcast(ids), "doc_id", "left_semi")
+    left, right = documents.select("doc_id", F.col("text").alias("a")), documents.select(F.col("doc_id").alias("center"), F.col("text").alias("b"))
+    pairs = edges.select("center", "doc_id").join(left, "doc_id").join(right, "center").select("center", "doc_id", "a", "b")
+    return pairs.mapInArrow(_check_batches, "center long, doc_id long").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -166,18 +188,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = materialize(
-        rows.join(heads, "bucket").where("doc_id <> center").groupBy("center", "doc_id").agg(F.count("*").alias("shared")), "stars"
-    )
-    wanted = stars.select("doc_id").unionByName(stars.select(F.col("center").alias("doc_id"))).distinct()
-    wanted = materialize(wanted, "wanted")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return materialize(documents.join(ids, "doc_id", "left_semi").mapInArrow(_set_batches, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-
-    sets = sets_of(wanted)
-    best = stars.groupBy("doc_id").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center"))
-    links = materialize(_verified(best, sets), "links")
+    crowded = materialize(rows.join(heads, "bucket").select("bucket", "doc_id", "center"), "crowded")
+    stars = materialize(crowded.where("doc_id <> center").groupBy("center", "doc_id").agg(F.count("*").alias("shared")), "stars")
+    best = materialize(stars.groupBy("doc_id").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center")), "best")
+    links = materialize(_verified(best, documents), "links")
     parts = materialize(connected_components(links, "center", "doc_id"), "parts")
 
     def apart(edges: DataFrame) -> DataFrame:
@@ -192,11 +206,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             edges = apart(stars.join(tried, ["center", "doc_id"], "left_anti").select("center", "doc_id"))
         else:
             label = parts.select(F.col("node").alias("doc_id"), "component")
-            member = reps.join(label, "doc_id", "left").select("doc_id", "low", F.coalesce("component", "doc_id").alias("component"), F.explode("bands").alias("bucket"))
-            mixed = rows.join(label, "doc_id", "left").groupBy("bucket").agg(
-                F.min(F.coalesce("component", "doc_id")).alias("x"), F.max(F.coalesce("component", "doc_id")).alias("y")
-            ).where("x <> y").select("bucket")
-            member = member.join(mixed, "bucket", "left_semi")
+            member = crowded.select("bucket", "doc_id").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            mixed = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+            member = materialize(member.join(mixed, "bucket"), "mixed")
+            member = member.join(reps.select("doc_id", "low"), "doc_id")
             tree = step == "tree"
             edges = block_pairs(member, ["bucket"], "doc_id").mapInArrow(lambda it, t=tree: _likely(it, t), "center long, doc_id long").distinct()
             edges = edges.join(tried, ["center", "doc_id"], "left_anti")
@@ -206,7 +219,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                 continue
             break
         tried = tried.unionByName(edges)
-        links = links.unionByName(materialize(_verified(edges, sets), "links"))
+        links = links.unionByName(materialize(_verified(edges, documents), "links"))
         parts = materialize(connected_components(links, "center", "doc_id"), "parts")
 
     classes = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*marks, F.coalesce("component", "rep").alias("component_id"))

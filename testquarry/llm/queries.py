@@ -10,6 +10,8 @@ from .bpe import digests, encode_decode
 from .embedding_dedup import near_vectors
 from .langid import identify, train
 from .minhash_dedup import near_duplicates
+from .mixing import mix_documents
+from .mixing import oracle as mixing_oracle
 from .packed_tokens import packed_tokens
 from .quality_rules import quality_rules
 from .sharding import shard_documents
@@ -41,6 +43,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_docs(spark, sf_dir))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -54,8 +60,8 @@ def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_language_id, op5_sharding, op7_embedding_dedup, op8_minhash_dedup, op10_packed_tokens)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_language_id, op5_sharding, op6_mixing, op7_embedding_dedup, op8_minhash_dedup, op10_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing_oracle()}
