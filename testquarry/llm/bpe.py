@@ -8,16 +8,16 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkernels import packed
+from .wordsplit import WordMemory, splitter
 
 #: Bytes of text, and token rows, that one DuckDB call handles.
 TEXT_BYTES = 2 << 20
-#: Words kept with their ids; a worker holds twice as many at most.
-CACHE_WORDS = 300_000
+#: Words of one recursive query.
+QUERY_WORDS = 50_000
 #: Longer words are merged with a heap: the recursion takes a step for every merge.
 LONG_WORD = 512
 
@@ -96,10 +96,8 @@ class Codec:
         import duckdb
 
         self.ranks = read_ranks(path)
-        self.split = regex.compile(pattern).findall
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.encode = WordMemory(splitter(pattern), self._merge).encode
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
@@ -115,41 +113,23 @@ class Codec:
         self.db.unregister(name)
         return out
 
-    def _merge(self, words: list[str]) -> None:
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of the words: long ones by heap, the others by the recursive query."""
         raw = [w.encode() for w in words]
-        for w, b in zip(words, raw):
-            if len(b) > LONG_WORD:
-                self.young[w] = np.array(heap_merge(b, self.ranks), "<u4").tobytes()
-        words, raw = [w for w, b in zip(words, raw) if len(b) <= LONG_WORD], [b for b in raw if len(b) <= LONG_WORD]
-        for i in range(0, len(words), 50_000):
-            part = raw[i : i + 50_000]
-            sizes = np.array([len(b) for b in part])
-            data = np.frombuffer(b"".join(part), np.uint8)
+        out = [np.array(heap_merge(b, self.ranks), "<u4").tobytes() if len(b) > LONG_WORD else b"" for b in raw]
+        short = [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]
+        for k in range(0, len(short), QUERY_WORDS):
+            part = short[k : k + QUERY_WORDS]
+            sizes = np.array([len(raw[i]) for i in part])
+            data = np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
             word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             got = self._rows(ENCODE_SQL, "start_rows", pa.table({"word": word, "pos": pos, "id": self.first[data]}))
             ids = got["id"].to_numpy().astype("<u4").tobytes()
             at = np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1)) * 4
-            for w, a, b in zip(words[i : i + 50_000], at[:-1].tolist(), at[1:].tolist()):
-                self.young[w] = ids[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) for t in texts]
-        need = set().union(*parts).difference(self.young)
-        if len(self.young) + len(need) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-            need = set().union(*parts)
-        new = []
-        for w in need:
-            if (b := self.old.get(w)) is not None:
-                self.young[w] = b
-            else:
-                new.append(w)
-        if new:
-            self._merge(new)
-        get = self.young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            for i, a, b in zip(part, at[:-1].tolist(), at[1:].tolist()):
+                out[i] = ids[a:b]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids: vocabulary join, then ordered aggregation."""

@@ -10,19 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_root
 from .textkernels import packed
+from .wordsplit import WordMemory, splitter
 
 MAGIC = b"PKTOK001"
 #: Ids of a block. Every block starts at a byte, at an offset that the index holds.
 BLOCK = 8192
 END_ID = 0
 TEXT_BYTES = 2 << 20
-CACHE_WORDS = 300_000
 
 
 def width(vocabulary: int) -> int:
@@ -126,7 +125,7 @@ class Reader:
 class WordCodec:
     """The tokenizers library applied word by word: its byte-level splitter parts a text by a
     fixed pattern and merges within the parts, so equal words have equal ids and the
-    library sees each word once. Words are remembered up to a bound."""
+    library sees each word once."""
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -136,26 +135,20 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        need = set().union(*parts).difference(self.young)
-        if len(self.young) + len(need) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-            need = set().union(*parts)
-        new = []
-        for w in need:
-            if (b := self.old.get(w)) is not None:
-                self.young[w] = b
-            else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.young[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        # a token's characters stand for its bytes one to one
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.encode = WordMemory(splitter(pattern), self._merge).encode
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of the words, encoded in one call and parted where the words' bytes end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([words], add_special_tokens=False, is_pretokenized=True)[0].ids, "<u4")
+        ends = np.cumsum([len(w.encode()) for w in words])
+        cut = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]
 
 
 _codecs: dict[str, WordCodec] = {}

@@ -9,6 +9,7 @@ from .common import unsigned_crc
 from .bpe import digests, encode_decode
 from .embedding_dedup import near_vectors
 from .langid import identify, train
+from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix_documents
 from .mixing import oracle as mixing_oracle
@@ -55,12 +56,17 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_removed", unsigned_crc(F.coalesce("text", F.lit(""))).alias("clean_crc32"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("clean_chars"))
+
+
 def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(_docs(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_language_id, op5_sharding, op6_mixing, op7_embedding_dedup, op8_minhash_dedup, op10_packed_tokens)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_language_id, op5_sharding, op6_mixing, op7_embedding_dedup, op8_minhash_dedup, op9_line_dedup, op10_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
