@@ -17,6 +17,8 @@ from .packed_tokens import packed_tokens
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 
+from . import toxicity
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -28,6 +30,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held_out = F.coalesce(unsigned_crc(F.col("doc_id")) % 3 == 1, F.lit(False))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_docs(spark, sf_dir)))
 
@@ -66,7 +76,7 @@ def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_language_id, op5_sharding, op6_mixing, op7_embedding_dedup, op8_minhash_dedup, op9_line_dedup, op10_packed_tokens)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_byte_bpe, op4_language_id, op5_sharding, op6_mixing, op7_embedding_dedup, op8_minhash_dedup, op9_line_dedup, op10_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
