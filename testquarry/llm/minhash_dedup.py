@@ -23,6 +23,8 @@ ROWS, BANDS = 5, 40
 LEAST_AGREED = 0.62
 #: Most ids that are broadcast, 8 bytes each.
 BROADCAST_IDS = 4_000_000
+#: Most texts of one side of a unit in which full sets are compared.
+EXACT_BLOCK = 512
 
 _SEEDS = mix(np.arange(1, ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -117,44 +119,106 @@ def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch["center"].filter(ok), batch["doc_id"].filter(ok)], names=["center", "doc_id"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch], tree: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a unit of a bucket whose sketches agree enough.
+def _agreeing(low: np.ndarray, comp: np.ndarray, blk: np.ndarray, cross: bool, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Later members of other components whose sketches agree enough with the i-th, and how far.
 
-    tree: only a spanning forest of them, most similar pairs first.
+    Only the lowest byte of each bin is compared: unequal bins agree by chance once in 256.
     """
+    js = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((blk[i + 1 :] != blk[i]) if cross else True)) + i + 1
+    agreed = (low[js] == low[i]).mean(1) if len(js) else np.zeros(0)
+    ok = agreed >= LEAST_AGREED
+    return js[ok], agreed[ok]
+
+
+def _unit(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    ids, comp, blk = (group[k].to_numpy() for k in ("doc_id", "component", "blk"))
+    low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    return ids, comp, blk, low, group["bi"][0].as_py() != group["bj"][0].as_py()
+
+
+def _tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the agreeing pairs of each unit of a bucket, most similar first."""
     for group in sorted_groups(batches, ["bucket", "bi", "bj"]):
-        comp, ids, blk = (group[k].to_numpy() for k in ("component", "doc_id", "blk"))
-        cross = group["bi"][0].as_py() != group["bj"][0].as_py()
+        ids, comp, blk, low, cross = _unit(group)
         if comp.min() == comp.max():
             continue
-        low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        found = []
+        place = {c: k for k, c in enumerate(sorted(set(comp.tolist())))}
+        local, best = np.array([place[c] for c in comp.tolist()]), {}
         for i in range(len(ids)):
-            js = np.arange(i + 1, len(ids))
-            js = js[(comp[js] != comp[i]) & ((blk[js] != blk[i]) if cross else True)]
-            if len(js):
-                agreed = (low[js] == low[i]).mean(1)
-                # unequal values agree by chance in one of 256 cases
-                ok = agreed >= LEAST_AGREED
-                found += zip(agreed[ok].tolist(), [i] * int(ok.sum()), js[ok].tolist())
-        if tree and found:
-            place = {c: k for k, c in enumerate(sorted(set(comp.tolist())))}
-            forest = Forest(len(place))
-            found = [x for x in sorted(found, reverse=True) if forest.join(place[comp[x[1]]], place[comp[x[2]]])]
+            js, agreed = _agreeing(low, comp, blk, cross, i)
+            for j, g in zip(js.tolist(), agreed.tolist()):
+                key = (min(local[i], local[j]), max(local[i], local[j]))
+                if g > best.get(key, (0.0,))[0]:
+                    best[key] = (g, i, j)
+        forest = Forest(len(place))
+        found = [x for x in sorted(best.values(), reverse=True) if forest.join(local[x[1]], local[x[2]])]
         if found:
             a, b = ids[[x[1] for x in found]], ids[[x[2] for x in found]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["center", "doc_id"])
 
 
-def _verified(edges: DataFrame, documents: DataFrame) -> DataFrame:
-    """Edges (center, doc_id), from a written table, whose full sets are similar enough.
+def _suspect_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a bucket that agree enough with a member of another component."""
+    for group in sorted_groups(batches, ["bucket", "bi", "bj"]):
+        ids, comp, blk, low, cross = _unit(group)
+        if comp.min() == comp.max():
+            continue
+        hit = np.zeros(len(ids), bool)
+        for i in range(len(ids)):
+            js, _ = _agreeing(low, comp, blk, cross, i)
+            hit[js] = True
+            hit[i] |= len(js) > 0
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([group["bucket"].combine_chunks().filter(pa.array(hit)), pa.array(ids[hit])], names=["bucket", "doc_id"])
+
 
-    Only texts that an edge names are shuffled. Their ids are broadcast where there are at
-    most BROADCAST_IDS; otherwise the texts meet the edges in sorted joins.
+def _exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links between components in each unit, on full sets.
+
+    A pair is checked in the first bucket that it shares, and not once its components are
+    joined in the unit; nothing but the forest leaves the task.
     """
-    ids = edges.select("doc_id").unionByName(edges.select(F.col("center").alias("doc_id"))).distinct()
-    if edges.count() * 2 <= BROADCAST_IDS:
-        documents = documents.join(F.broadcast(ids), "doc_id", "left_semi")
+    for group in sorted_groups(batches, ["bucket", "bi", "bj"]):
+        ids, comp, blk, low, cross = _unit(group)
+        bands = np.stack(group["bands"].to_numpy())
+        band = int((bands[0] == group["bucket"][0].as_py()).argmax())
+        place = {c: k for k, c in enumerate(sorted(set(comp.tolist())))}
+        local, forest, found = [place[c] for c in comp.tolist()], Forest(len(place)), []
+        sets = []
+        for _, _, data, at in chunks(group["text"]):
+            x, f = shingle_sets(lower_ascii(data), at, WIDTH)
+            sets += [x[a:b] for a, b in zip(f[:-1], f[1:])]
+        for i in range(len(ids)):
+            js, _ = _agreeing(low, comp, blk, cross, i)
+            js = js[(bands[js] == bands[i]).argmax(1) == band] if len(js) else js
+            for j in js.tolist():
+                if forest.root(local[i]) == forest.root(local[j]):
+                    continue
+                a, b = sets[i], sets[j]
+                if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= SIMILAR * (len(a) + len(b) - both):
+                    forest.join(local[i], local[j])
+                    found.append((i, j))
+        if found:
+            a, b = ids[[x[0] for x in found]], ids[[x[1] for x in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["center", "doc_id"])
+
+
+def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id ids, a written table, names: by broadcast where it has at
+    most BROADCAST_IDS rows, and otherwise by a sorted join."""
+    few = ids.count() <= BROADCAST_IDS
+    ids = ids.select("doc_id").distinct()
+    return documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _verified(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """Edges (center, doc_id), from a written table, whose full sets are similar enough; only texts that an
+    edge names are shuffled."""
+    ids = edges.select("doc_id").unionByName(edges.select(F.col("center").alias("doc_id")))
+    documents = _texts_of(documents, ids)
     left, right = documents.select("doc_id", F.col("text").alias("a")), documents.select(F.col("doc_id").alias("center"), F.col("text").alias("b"))
     pairs = edges.select("center", "doc_id").join(left, "doc_id").join(right, "center").select("center", "doc_id", "a", "b")
     return pairs.mapInArrow(_check_batches, "center long, doc_id long").distinct()
@@ -170,10 +234,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     3. Edges are confirmed on full sets, for each document the center it shares most bands
        with first, then those that still join different components.
     4. Buckets that still hold several components are searched in bounded blocks for pairs
-       whose sketches agree enough: first a spanning forest of such pairs, then, where
-       components remain apart, the rest of them. So a link that is no star's is not lost.
+       whose sketches agree enough: first a spanning forest of such pairs is confirmed;
+       then members that still agree with another component's meet with their texts, block
+       by block, and give a forest of links. So a link that is no star's is not lost, and
+       pairs of a bucket are never listed.
 
-    Null and empty texts have empty sets, link with nothing and are kept. Rows that share a
+    Null and empty texts have empty sets, link with nothing and are kept; so is a row without
+    a doc_id. Rows that share a
     doc_id count as one document. Ties go to the least doc_id. Other columns are dropped.
     An empty table gives an empty result.
     """
@@ -200,29 +267,33 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             F.coalesce("c_center", "center") != F.coalesce("c_doc_id", "doc_id")
         ).select("center", "doc_id")
 
-    tried = best.select("center", "doc_id")
-    for step in ("stars", "tree", "rest"):
-        if step == "stars":
-            edges = apart(stars.join(tried, ["center", "doc_id"], "left_anti").select("center", "doc_id"))
-        else:
-            label = parts.select(F.col("node").alias("doc_id"), "component")
-            member = crowded.select("bucket", "doc_id").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-            mixed = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-            member = materialize(member.join(mixed, "bucket"), "mixed")
-            member = member.join(reps.select("doc_id", "low"), "doc_id")
-            tree = step == "tree"
-            edges = block_pairs(member, ["bucket"], "doc_id").mapInArrow(lambda it, t=tree: _likely(it, t), "center long, doc_id long").distinct()
-            edges = edges.join(tried, ["center", "doc_id"], "left_anti")
-        edges = materialize(edges, "edges")
-        if edges.isEmpty():
-            if step == "stars":
-                continue
-            break
-        tried = tried.unionByName(edges)
-        links = links.unionByName(materialize(_verified(edges, documents), "links"))
-        parts = materialize(connected_components(links, "center", "doc_id"), "parts")
+    def joined(more: DataFrame) -> None:
+        nonlocal links, parts
+        more = materialize(more, "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = materialize(connected_components(links, "center", "doc_id"), "parts")
+
+    def mixed() -> DataFrame:
+        label = parts.select(F.col("node").alias("doc_id"), "component")
+        member = crowded.select("bucket", "doc_id").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        several = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+        member = materialize(member.join(several, "bucket"), "mixed")
+        return member.join(reps.select("doc_id", "low"), "doc_id")
+
+    edges = stars.join(best.select("center", "doc_id"), ["center", "doc_id"], "left_anti").select("center", "doc_id")
+    joined(_verified(materialize(apart(edges), "edges"), documents))
+    edges = block_pairs(mixed(), ["bucket"], "doc_id").mapInArrow(_tree_batches, "center long, doc_id long").distinct()
+    joined(_verified(materialize(edges, "edges"), documents))
+    member = materialize(mixed(), "members")
+    suspects = block_pairs(member, ["bucket"], "doc_id").mapInArrow(_suspect_batches, "bucket long, doc_id long").distinct()
+    suspects = materialize(suspects, "suspects")
+    if not suspects.isEmpty():
+        texts = _texts_of(documents, suspects)
+        unit = member.join(suspects, ["bucket", "doc_id"]).join(reps.select("doc_id", "bands"), "doc_id").join(texts.dropDuplicates(["doc_id"]), "doc_id")
+        joined(block_pairs(unit, ["bucket"], "doc_id", EXACT_BLOCK).mapInArrow(_exact_batches, "center long, doc_id long").distinct())
 
     classes = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*marks, F.coalesce("component", "rep").alias("component_id"))
     result = sketch.select("doc_id", *marks).join(classes, marks, "left")
     component = F.coalesce("component_id", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull()).alias("kept"))
