@@ -6,6 +6,15 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "strings": T.ArrayType(T.StringType())}
+
+
+def _struct(**fields: str) -> T.StructType:
+    """A schema made without a session, so that importing this module needs none."""
+    return T.StructType([T.StructField(k, _TYPES[v]) for k, v in fields.items()])
+
 
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _HTTP = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -77,7 +86,7 @@ def _target(code: str | None) -> tuple[str | None, str]:
     return None, "expression"
 
 
-@F.pandas_udf("struct<target string, basis string>")
+@F.pandas_udf(_struct(target="string", basis="string"))
 def navigation_target(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_target(c) for c in code], columns=["target", "basis"])
 
@@ -92,7 +101,7 @@ def _wait_argument(code: str | None) -> tuple[str | None, str]:
     return first, kind
 
 
-@F.pandas_udf("struct<argument string, kind string>")
+@F.pandas_udf(_struct(argument="string", kind="string"))
 def wait_argument(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_wait_argument(c) for c in code], columns=["argument", "kind"])
 
@@ -120,7 +129,7 @@ def complexity(source: str | None) -> dict[str, int]:
     return {"cyclomatic": basic, "cyclomatic_extended": basic + sum(t in ("&&", "||") for t in toks), "max_nesting": deepest, "ncloc": ncloc, "tokens": len(toks)}
 
 
-@F.pandas_udf("struct<cyclomatic int, cyclomatic_extended int, max_nesting int, ncloc int, tokens int>")
+@F.pandas_udf(_struct(cyclomatic="int", cyclomatic_extended="int", max_nesting="int", ncloc="int", tokens="int"))
 def code_complexity(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([complexity(s) for s in source], columns=["cyclomatic", "cyclomatic_extended", "max_nesting", "ncloc", "tokens"])
 
@@ -148,7 +157,7 @@ def html_measures(html: str | None) -> dict[str, int]:
     return {"tags": opened, "links": links, "scripts": scripts, "max_depth": deepest}
 
 
-@F.pandas_udf("struct<tags int, links int, scripts int, max_depth int>")
+@F.pandas_udf(_struct(tags="int", links="int", scripts="int", max_depth="int"))
 def html_complexity(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([html_measures(h) for h in html], columns=["tags", "links", "scripts", "max_depth"])
 
@@ -196,7 +205,7 @@ def extract_calls(source: str | None) -> list[dict]:
     return found
 
 
-CALLS = "array<struct<kind string, name string, title string, line int, end_line int, status string, path array<string>, test string, hook string, raw_code string>>"
+CALLS = T.ArrayType(_struct(kind="string", name="string", title="string", line="int", end_line="int", status="string", path="strings", test="string", hook="string", raw_code="string"))
 
 
 @F.pandas_udf(CALLS)
