@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .textkernels import U, chunks, mix, span_hashes, words
 
 #: Bound of the training sample: toxic and other documents.
-TRAIN_TOXIC, TRAIN_OTHER = 2500, 5000
+TRAIN_TOXIC, TRAIN_OTHER = 2000, 3000
+#: Texts that a feature must be in to count.
+MIN_DOCS = 4
 SEED = 23
 THRESHOLD = 0.7
 #: Symbols of the character model: 0 for all that isn't a letter, a to z, other UTF-8 bytes.
@@ -60,21 +62,23 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def character_costs(codes: np.ndarray, counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
     """(SYMBOLS, SYMBOLS, SYMBOLS) float32: -log of the interpolated trigram probabilities."""
-    c3 = np.zeros(SYMBOLS**3)
+    c3 = np.zeros(SYMBOLS**3, np.float32)
     c3[codes] = counts
     c3 = c3.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    c2, c1 = c3.sum(0), c3.sum((0, 1))
+    c2, c1 = c3.sum(0, dtype=np.float64), c3.sum((0, 1), dtype=np.float64)
     p1 = (c1 + 1) / (c1.sum() + SYMBOLS)
     p2 = (c2 + weight * p1) / (c2.sum(1, keepdims=True) + weight)
-    p3 = (c3 + weight * p2) / (c3.sum(2, keepdims=True) + weight)
-    return -np.log(p3).astype(np.float32)
+    whole = c3.sum(2, keepdims=True) + np.float32(weight)
+    c3 += (weight * p2).astype(np.float32)
+    c3 /= whole
+    return -np.log(c3, out=c3)
 
 
 def character_model(documents: DataFrame) -> np.ndarray:
     """Costs from the trigrams of all texts: tasks count, a grouped sum adds; the driver gets
     SYMBOLS ** 3 sums at most, whatever the input."""
-    rows = documents.select("text").mapInArrow(_count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    return character_costs(np.array([r.code for r in rows], np.int64), np.array([r.n for r in rows], np.float64))
+    sums = documents.select("text").mapInArrow(_count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return character_costs(sums["code"].to_numpy(), sums["n"].to_numpy())
 
 
 def read_span(span: str, costs: np.ndarray) -> str:
@@ -214,31 +218,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _parts(texts: list[str], step: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for i in range(0, len(texts), step):
+        raw = [t.encode() for t in texts[i : i + step]]
+        yield i, np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+
+
 def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
     """Weights are lower bounds (two deviations) of the features' log odds over documents;
     those below 1 are dropped. Two of three texts give the weights, the others the logistic
     scale, so that it is fitted on weights it did not shape."""
     y = np.array(labels, bool)
-    raw = [t.encode() for t in texts]
-    at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    data, at = restore(np.frombuffer(b"".join(raw), np.uint8), at, costs)
-    text, h = features(data, at)
     tune = np.arange(len(y)) % 3 == 2
-    order = np.lexsort((text, h))
-    text, h = text[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    text, h = text[new], h[new]
-    use = ~tune[text]
-    known, inverse = np.unique(h[use], return_inverse=True)
-    pos = np.bincount(inverse, y[text[use]], len(known))
-    neg = np.bincount(inverse, ~y[text[use]], len(known))
+    hashes, owners = [], []
+    for i, data, at in _parts(texts):
+        text, h = features(*restore(data, at, costs))
+        use = ~tune[text + i]
+        text, h = text[use].astype(np.int32), h[use]
+        order = np.lexsort((text, h))
+        text, h = text[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        hashes.append(h[new])
+        owners.append(y[text[new] + i])
+    h, toxic = np.concatenate(hashes), np.concatenate(owners)
+    del hashes, owners
+    # a feature of fewer than MIN_DOCS texts can't reach a weight: drop what surely is one
+    place = (h >> U(42)).astype(np.int32)
+    often = np.bincount(place, minlength=1 << 22)[place] >= MIN_DOCS
+    h, toxic = h[often], toxic[often]
+    known, inverse = np.unique(h, return_inverse=True)
+    pos = np.bincount(inverse, toxic, len(known))
+    neg = np.bincount(inverse, ~toxic, len(known))
     n_pos, n_neg = (y & ~tune).sum(), (~y & ~tune).sum()
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     low = odds - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    keep = low >= 1
+    keep = (low >= 1) & (pos + neg >= MIN_DOCS)
     model = Model(costs, known[keep], low[keep], (0.0, 0.0, 0.0))
-    x = model.evidence(data, at)[tune]
+    x = np.concatenate([model.evidence(*restore(data, at, costs)) for _, data, at in _parts([t for t, k in zip(texts, tune) if k])] or [np.zeros((0, 2))])
     x = np.column_stack((x[:, 0], np.log1p(x[:, 1]), np.ones(len(x))))
     t, w = y[tune].astype(float), np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
