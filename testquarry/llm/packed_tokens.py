@@ -42,7 +42,7 @@ def unpack(data: bytes | np.ndarray, n: int, bits: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     wide = np.zeros((n, 4), np.uint8)
     if bits % 8 == 0:
-        wide[:, 4 - bits // 8 :] = raw[: n * bits // 8].reshape(n, -1)
+        wide[:, 4 - bits // 8 :] = raw[: n * bits // 8].reshape(n, bits // 8)
     else:
         flat = np.zeros((n, 32), np.uint8)
         flat[:, 32 - bits :] = np.unpackbits(raw)[: n * bits].reshape(n, bits)
