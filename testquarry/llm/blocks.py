@@ -19,20 +19,22 @@ def block_pairs(rows: DataFrame, bucket: list[str], ident: str, block: int = BLO
     """rows with blk, bi, bj: a bucket of over `block` rows is dealt into blocks by a hash of
     ident, and each pair of blocks becomes a unit of work of its own; others are one unit.
 
-    Rows come sorted by bucket, bi, bj, ident within partitions that are dealt by (bucket,
-    bi, bj): a hot bucket spreads over the cluster, and no task holds more than two blocks
+    Rows come sorted by bucket, bi, bj within partitions that are dealt by (bucket, bi, bj): a hot bucket spreads over the cluster, and no task holds more than two blocks
     of a bucket at once. Buckets are counted in a first pass; the large ones, fewer than one
     for `block` rows, are a written table when they are joined.
     """
     large = materialize(rows.groupBy(*bucket).agg(F.count("*").alias("_n")).where(f"_n > {block}").select(*bucket, F.ceil(F.col("_n") / block).cast("int").alias("_b")), "large")
+    keys = [*bucket, "bi", "bj"]
+    if large.isEmpty():
+        whole = rows.withColumns({k: F.lit(0) for k in ("blk", "bi", "bj")})
+        return whole.repartition(*bucket).sortWithinPartitions(*bucket)
     parts = F.coalesce("_b", F.lit(1))
     blk = F.pmod(F.xxhash64(ident, F.lit(7)), parts.cast("long")).cast("int")
     unit = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("blk")).alias("bi"), F.greatest(k, F.col("blk")).alias("bj")))
-    keys = [*bucket, "bi", "bj"]
     return (
         rows.join(large, bucket, "left").withColumn("blk", blk)
         .select(*rows.columns, "blk", F.explode(unit).alias("_u")).select(*rows.columns, "blk", "_u.bi", "_u.bj")
-        .repartition(*keys).sortWithinPartitions(*keys, ident)
+        .repartition(*keys).sortWithinPartitions(*keys)
     )
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import packed
+from .textkernels import claim, on_switch, packed
 from .wordsplit import WordMemory, splitter
 
 #: Bytes of text, and token rows, that one DuckDB call handles.
@@ -93,20 +93,27 @@ class Codec:
     """Encoder and decoder of one worker; words already merged are remembered up to a bound."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
-
         self.ranks = read_ranks(path)
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.encode = WordMemory(splitter(pattern), self._merge).encode
+        self.merges, self.vocab = merge_table(self.ranks), pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "tok": [x.decode("latin-1") for x in self.ranks]})
+        self.db = None
+
+    def open(self) -> None:
+        """A database in memory, for one partition."""
+        import duckdb
+
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '400MB'")
-        merges, vocab = merge_table(self.ranks), pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "tok": [x.decode("latin-1") for x in self.ranks]})
-        self.db.register("m_", merges)
-        self.db.register("v_", vocab)
+        self.db.execute("SET memory_limit = '300MB'")
+        self.db.register("m_", self.merges)
+        self.db.register("v_", self.vocab)
         self.db.execute("CREATE TABLE merges AS FROM m_")
         self.db.execute("CREATE TABLE vocab AS FROM v_")
 
+    def close(self) -> None:
+        self.db.close()
+
     def _rows(self, query: str, name: str, table: pa.Table) -> pa.Table:
         self.db.register(name, table)
         out = self.db.sql(query).to_arrow_table()
@@ -144,6 +151,7 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+on_switch(_codecs.clear)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -176,14 +184,19 @@ def encode_decode(documents: DataFrame, path: str | None = None, pattern: str |
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         c = codec(path, pattern)
-        for batch in batches:
-            for first, n in _pieces(batch, "text"):
-                ids = c.encode([t or "" for t in batch["text"].slice(first, n).to_pylist()])
-                columns = [batch["doc_id"].slice(first, n), pa.array(ids, pa.binary())]
-                if decode:
-                    columns.append(pa.array(c.decode(ids), pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+        c.open()
+        try:
+            for batch in batches:
+                for first, n in _pieces(batch, "text"):
+                    ids = c.encode([t or "" for t in batch["text"].slice(first, n).to_pylist()])
+                    columns = [batch["doc_id"].slice(first, n), pa.array(ids, pa.binary())]
+                    if decode:
+                        columns.append(pa.array(c.decode(ids), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+        finally:
+            c.close()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
 

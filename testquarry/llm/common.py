@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that parts words: space and the five controls from tab to carriage return.
 SPACE = " \t-\r"
 
+#: Most edges of a graph that one task joins: 16 bytes each on the wire, some 200 in memory.
+TASK_EDGES = 500_000
+
 _OWN: dict[str, str] = {}
 
 
@@ -54,11 +58,30 @@ def unsigned_crc(value: Column) -> Column:
     return F.crc32(F.encode(value.cast("string"), "UTF-8"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def _forest_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of a task's edges by union-find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            x, y = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component): the smallest id each node reaches; nodes without edges don't appear.
 
-    Alternating large-star and small-star steps. Each step is a grouped minimum (combined
-    before the shuffle) and an equi join whose hot side adaptive execution can split, so a
+    Up to task_edges distinct edges, a fixed bound, are one task's union-find. More take
+    alternating large-star and small-star steps: each is a grouped minimum (combined before
+    the shuffle) and an equi join whose hot side adaptive execution can split, so a
     component that holds most rows never meets in one task. Every round is written to the
     scratch folder, and rounds grow with the logarithm of a component's size.
     Nulls and self-loops are dropped; an empty edge list gives an empty result.
@@ -68,6 +91,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .where("a <> b").distinct()
     )
     work = materialize(work, "cc")
+    if work.count() <= task_edges:
+        return work.repartition(1).mapInArrow(_forest_labels, "node long, component long")
     before = None
     while True:
         # large star: every larger neighbour of a node joins the node's smallest neighbour

@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import U, chunks, mix
+from .textkernels import U, chunks, claim, mix
 
 #: Bound of the training sample: documents of each language, and languages (most frequent first).
 TRAIN_PER_LANG, MAX_LANGS = 400, 200
 #: Hashed subwords (byte n-grams of lower-cased text), their buckets and dimensions.
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 8
-EPOCHS, BATCH, RATE, EMB_RATE = 4, 256, 1.0, 100.0
+#: Bytes scored at once, each with some 150 bytes of work space.
+PIECE = 1 << 18
+#: Passes over the sample, and steps at least; examples of a step; rates of the two layers.
+EPOCHS, STEPS, BATCH, RATE, EMB_RATE = 4, 600, 256, 1.0, 100.0
 SEED = 11
 #: Least score that is ever accepted, and precision that accepted predictions must reach on the calibration rows.
 LEAST_SCORE, PRECISION = 0.5, 0.995
@@ -93,8 +96,9 @@ def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
     per_order = list(subwords(data, cut))
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(owner))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for start in np.arange(0, len(owner), BATCH)[rng.permutation(-(-len(owner) // BATCH))]:
             # texts were permuted, so a run of segments is a mixed batch
             part = slice(start, min(start + BATCH, len(owner)))
@@ -173,9 +177,10 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     schema = plain.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         m = broad.value
         for batch in batches:
-            parts = [m.scores(data, at) for _, _, data, at in chunks(batch["_low"])]
+            parts = [m.scores(data, at) for _, _, data, at in chunks(batch["_low"], PIECE)]
             p = np.concatenate(parts) if parts else np.zeros((0, len(m.langs)))
             letter = batch["_letter"].to_numpy(zero_copy_only=False).astype(bool)
             score = np.where(letter, p.max(1), 0.0)

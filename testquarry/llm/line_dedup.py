@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, Forest, block_pairs
 from .common import connected_components, let, materialize
-from .textkernels import U, chunks, mix, span_hashes
+from .textkernels import U, chunks, claim, mix, span_hashes
 
 #: Shorter lines are left alone.
 MIN_WORDS = 5
@@ -23,10 +23,12 @@ LONG_LINE = 2048
 #: A SimHash is so many blocks; two lines meet where a block is equal, so none within
 #: BLOCKS - 1 bits is missed. Meeting pairs go on if at most this share of bits differ.
 BLOCKS, MOST_DIFFERENT = 8, 0.19
-#: Lines per bucket that set a block's bits, and the least bits.
-FILL, LEAST_BITS = 32, 16
+#: Lines taken to be in a document, lines per bucket that set a block's bits, and the least bits.
+LINES, FILL, LEAST_BITS = 8, 32, 16
 #: Most documents whose removed lines are broadcast, and most lines.
 BROADCAST_LINES = 4_000_000
+#: Most lines of one side of a unit in which lines are compared.
+LINKED_BLOCK = 512
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -78,7 +80,7 @@ _RUN = 36
 
 
 def simhashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
-    """(lines, bits / 8) bytes: the signs of the weighted sums of the words' random signs.
+    """(lines, BLOCKS) numbers: the signs of the weighted sums of the words' random signs.
 
     A word weighs its bytes less 2, within 1 and 7: short words are in most lines and would
     make long lines alike. first: each line's first word and, at the end, their number.
@@ -95,11 +97,13 @@ def simhashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
         raw = np.stack([mix(h[lo:hi] + U(w * 0x9E3779B97F4A7C15 & (2**64 - 1))) for w in range(-(-bits // 64))], 1).view(np.uint8)[:, : bits // 8]
         counters[k : k + step] = np.add.reduceat(_LANES[raw] * weight[lo:hi, None].astype(np.uint64), begin[k : k + step] - lo, axis=0)
     ones = np.add.reduceat(counters.view(np.uint8), run_first[:-1], axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > np.add.reduceat(weight, first[:-1])[:, None], axis=1)
+    sign = (2 * ones > np.add.reduceat(weight, first[:-1])[:, None]).reshape(len(count), BLOCKS, -1)
+    return sign @ (1 << np.arange(bits // BLOCKS, dtype=np.int32))
 
 
 def _line_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("line_dedup")
         for batch in batches:
             for first, last, data, at in chunks(batch["text"]):
                 data, at = normalised(data, at)
@@ -118,7 +122,7 @@ def _line_batches(bits: int):
                 sim = simhashes(data, ws[pick], we[pick], bounds, bits)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, last - first).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)),
-                     pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in sim], pa.binary())],
+                     pa.array(key.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(sim.astype(np.int32).ravel()), BLOCKS).cast(pa.list_(pa.int32()))],
                     names=["doc_id", "line", "key", "sim"],
                 )
 
@@ -159,6 +163,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield rest
 
 
+def _blocks(table: pa.Table) -> np.ndarray:
+    """(rows, BLOCKS / 2) words of 64 bits: two blocks each."""
+    return table["sim"].combine_chunks().flatten().to_numpy().astype(np.uint32).reshape(-1, BLOCKS).view(U)
+
+
 def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row pairs of a unit whose SimHashes differ in at most `most` bits, and the units' numbers.
 
@@ -166,8 +175,7 @@ def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np
     its unit, for d = 1, 2, ...
     """
     n = table.num_rows
-    raw = np.frombuffer(b"".join(table["sim"].to_pylist()), np.uint8).reshape(n, -1)
-    raw = np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).copy().view(np.uint64)
+    raw = _blocks(table)
     new = np.zeros(n, bool)
     for k in ("bucket", "bi", "bj"):
         v = table[k].to_numpy()
@@ -179,7 +187,7 @@ def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np
     while len(rows):
         d += 1
         rows = rows[rows + d < end[rows]]
-        ok = np.bitwise_count(raw[rows] ^ raw[rows + d]).sum(1) <= most
+        ok = np.bitwise_count(raw[rows] ^ raw[rows + d]).sum(1, dtype=np.int32) <= most
         ok &= ~cross[rows] | (blk[rows] != blk[rows + d])
         left.append(rows[ok])
         right.append(rows[ok] + d)
@@ -206,16 +214,34 @@ def _forest_batches(most: int):
     return run
 
 
-def _apart_batches(most: int):
-    """Close pairs of unlike components: of each two components in a unit, every pair."""
+def _linked_batches(most: int):
+    """A spanning forest of the links between components in each unit, on the lines themselves.
+
+    A pair is compared in the first block that it shares, and not once its components are
+    joined in the unit; nothing but the forest leaves the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches, ["bucket", "bi", "bj"]):
-            a, b, _ = _close_pairs(table, most)
-            comp, node = table["component"].to_numpy(), table["node"].to_numpy()
+        for table in whole_units(batches, ["bucket", "bi", "bj"], BLOCK):
+            a, b, unit = _close_pairs(table, most)
+            comp, node, bucket = (table[k].to_numpy() for k in ("component", "node", "bucket"))
+            sim = table["sim"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCKS)
             ok = comp[a] != comp[b]
-            if ok.any():
-                x, y = node[a[ok]], node[b[ok]]
+            a, b = a[ok], b[ok]
+            ok = (sim[a] == sim[b]).argmax(1) == bucket[a] % BLOCKS if len(a) else np.zeros(0, bool)
+            a, b = a[ok], b[ok]
+            if not len(a):
+                continue
+            words, found, forests = table["words"], [], {}
+            place = {c: k for k, c in enumerate(np.unique(np.concatenate((comp[a], comp[b]))).tolist())}
+            for i, j in zip(a.tolist(), b.tolist()):
+                forest = forests.setdefault(int(unit[i]), Forest(len(place)))
+                x, y = place[comp[i]], place[comp[j]]
+                if forest.root(x) != forest.root(y) and similar_lines(words[i].as_py(), words[j].as_py()):
+                    forest.join(x, y)
+                    found.append((i, j))
+            if found:
+                x, y = node[[i for i, _ in found]], node[[j for _, j in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
 
     return run
@@ -241,19 +267,36 @@ def edit_distance(a, b) -> int:
     return score
 
 
-def similar_lines(a: str, b: str, least: float = SIMILAR) -> bool:
-    """Whether two lines' edit similarity is at least `least`; long lines by words."""
-    x, y = (a.split(" "), b.split(" ")) if max(len(a), len(b)) > LONG_LINE else (a, b)
-    longest = max(len(x), len(y))
+def _trimmed(x, y):
+    """Two sequences without their common start and end."""
     i, n = 0, min(len(x), len(y))
     while i < n and x[i] == y[i]:
         i += 1
     j = 0
     while j < n - i and x[len(x) - 1 - j] == y[len(y) - 1 - j]:
         j += 1
-    x, y = x[i : len(x) - j], y[i : len(y) - j]
-    most = math.floor((1 - least) * longest + 1e-9)
-    return abs(len(x) - len(y)) <= most and (max(len(x), len(y)) <= most or edit_distance(x, y) <= most)
+    return x[i : len(x) - j], y[i : len(y) - j]
+
+
+def similar_lines(a: str, b: str, least: float = SIMILAR) -> bool:
+    """Whether two lines' edit similarity is at least `least`; long lines by words.
+
+    Characters are compared only where words don't settle it: no more characters change
+    than the changed words have, with a space each.
+    """
+    x, y = a.split(" "), b.split(" ")
+    long = max(len(a), len(b)) > LONG_LINE
+    most = math.floor((1 - least) * (max(len(x), len(y)) if long else max(len(a), len(b))) + 1e-9)
+    if not long and abs(len(a) - len(b)) > most:
+        return False
+    x, y = _trimmed(x, y)
+    changed = edit_distance(x, y)
+    if long:
+        return changed <= most
+    if changed * (max(map(len, (*x, *y)), default=0) + 1) <= most:
+        return True
+    x, y = _trimmed(a, b)
+    return max(len(x), len(y)) <= most or edit_distance(x, y) <= most
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,60 +329,71 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
 
     Lines are normalised; those of MIN_WORDS words or more count. Equal ones form a class,
     represented by its first occurrence by (doc_id, line). Classes meet in the buckets of
-    their SimHash's BLOCKS blocks, whose bits follow the logarithm of the number of lines;
+    their SimHash's BLOCKS blocks, whose bits follow the logarithm of the number of documents;
     a unit of a bucket gives a spanning forest of its close pairs, which are confirmed on
-    the lines by edit similarity. Where a pair of a forest fails, all close pairs between
-    the components that it leaves apart are confirmed too, so no link between close lines
-    is lost. A class is told by 64 bits of its hash.
+    the lines by edit similarity, each line's with its least neighbour first. Where pairs
+    fail and leave components apart, these components' lines meet once more, in bounded
+    units and with their texts, and every close pair between them is compared: no link
+    between close lines is lost, and close pairs are never listed. A class is told by 64
+    bits of its hash.
 
     Null and empty texts have no lines that count. Rows that share a doc_id count as one
     document, line by line.
     """
     documents = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = documents.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1)).first()[0] or 0
-    per_block = max(LEAST_BITS, -(-math.ceil(math.log2(total / FILL + 1)) // 4) * 4)
+    per_block = max(LEAST_BITS, -(-math.ceil(math.log2(documents.count() * LINES / FILL + 1)) // 4) * 4)
     bits = BLOCKS * per_block
     most = int(bits * MOST_DIFFERENT)
-    lines = materialize(documents.mapInArrow(_line_batches(bits), "doc_id long, line int, key long, sim binary"), "lines")
+    lines = materialize(documents.mapInArrow(_line_batches(bits), "doc_id long, line int, key long, sim array<int>"), "lines")
     classes = materialize(
         lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.any_value("sim").alias("sim"), F.count("*").alias("n")), "line-classes"
     )
-    size = per_block // 4
-    hexed = F.hex("sim")
-    buckets = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: F.shiftleft(F.conv(F.substring(hexed, k * size + 1, F.lit(size)), 16, 10).cast("long"), 3) + k)
+    buckets = F.transform(F.col("sim"), lambda x, k: x.cast("long") * BLOCKS + k)
     rows = classes.select("node", "sim", F.explode(buckets).alias("bucket"))
     edges = materialize(block_pairs(rows, ["bucket"], "node", BLOCK).mapInArrow(_forest_batches(most), "src long, dst long").distinct(), "line-edges")
 
-    def confirmed(edges: DataFrame) -> DataFrame:
-        ids = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-        wanted = classes.join(ids, "node", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, words) of a written table's nodes, read from their first occurrence."""
+        wanted = classes.join(nodes, "node", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(
             F.collect_list("at.line").alias("lines"), F.collect_list("node").alias("nodes")
         )
         wanted = materialize(wanted, "wanted-lines")
         if wanted.count() <= BROADCAST_LINES:
             wanted = F.broadcast(wanted)
         texts = documents.join(wanted, "doc_id").mapInArrow(_wanted_batches, "node long, words string").dropDuplicates(["node"])
-        texts = materialize(texts, "line-texts")
+        return materialize(texts, "line-texts")
+
+    def apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
+        a, b = (parts.select(F.col("node").alias(k), F.col("component").alias("c_" + k)) for k in ("src", "dst"))
+        joined = edges.join(a, "src", "left").join(b, "dst", "left")
+        return joined.where(F.coalesce("c_src", "src") != F.coalesce("c_dst", "dst")).select("src", "dst")
+
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    texts = texts_of(materialize(ends.distinct(), "line-ends"))
+
+    def confirmed(edges: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("node").alias("src"), F.col("words").alias("a")), texts.select(F.col("node").alias("dst"), F.col("words").alias("b"))
-        pairs = edges.join(a, "src").join(b, "dst")
-        short = pairs.where(F.greatest(F.length("a"), F.length("b")) <= LONG_LINE)
-        close = F.expr(f"levenshtein(a, b, cast(floor({1 - SIMILAR} * greatest(length(a), length(b)) + 1e-9) as int)) >= 0")
-        long = pairs.where(F.greatest(F.length("a"), F.length("b")) > LONG_LINE)
-        return materialize(short.where(close).select("src", "dst").unionByName(long.mapInArrow(_similar_batches, "src long, dst long")), "line-links")
+        return materialize(edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(_similar_batches, "src long, dst long"), "line-links")
 
-    links = confirmed(edges)
+    # every line to its least neighbour first: a group of like lines then is one component
+    best = materialize(edges.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "line-best")
+    links = confirmed(best)
     parts = materialize(connected_components(links), "line-parts")
-    failed = materialize(edges.join(links, ["src", "dst"], "left_anti"), "line-failed")
+    other = materialize(apart(edges.join(best, ["src", "dst"], "left_anti"), parts), "line-edges")
+    if not other.isEmpty():
+        links = links.unionByName(confirmed(other))
+        parts = materialize(connected_components(links), "line-parts")
+    failed = materialize(apart(edges, parts), "line-failed")
     if not failed.isEmpty():
         label = parts.select("node", "component")
         ends = failed.select(F.col("src").alias("node")).unionByName(failed.select(F.col("dst").alias("node"))).distinct()
         touched = ends.join(label, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
-        again = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).join(touched, "component", "left_semi")
-        again = materialize(again, "line-again")
-        more = block_pairs(again, ["bucket"], "node", BLOCK).mapInArrow(_apart_batches(most), "src long, dst long").distinct()
-        more = materialize(more.join(failed, ["src", "dst"], "left_anti"), "line-edges")
+        again = classes.select("node", "sim").join(texts, "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        again = materialize(again.join(touched, "component", "left_semi").select("node", "sim", "component", "words"), "line-again")
+        again = again.select("*", F.explode(buckets).alias("bucket"))
+        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(_linked_batches(most), "src long, dst long").distinct(), "line-links")
         if not more.isEmpty():
-            links = links.unionByName(confirmed(more))
+            links = links.unionByName(more)
             parts = materialize(connected_components(links), "line-parts")
     grouped = classes.join(parts, "node", "left").select("node", "at", "n", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
     firsts = grouped.where("linked").groupBy("component").agg(F.min("at").alias("keep"))

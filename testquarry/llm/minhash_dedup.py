@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Forest, block_pairs, sorted_groups
 from .common import connected_components, materialize
-from .textkernels import CHUNK, U, chunks, lower_ascii, mix, packed, shingle_sets
+from .textkernels import CHUNK, U, chunks, claim, lower_ascii, mix, packed, shingle_sets
 
 WIDTH = 5
 #: Links have 100 * intersection >= SIMILAR * union.
@@ -74,6 +74,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("minhash_dedup")
     for batch in batches:
         for first, last, data, at in chunks(batch["text"]):
             sets, offsets = shingle_sets(lower_ascii(data), at, WIDTH)

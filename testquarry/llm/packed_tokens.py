@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_root
-from .textkernels import packed
+from .textkernels import claim, on_switch, packed
 from .wordsplit import WordMemory, splitter
 
 MAGIC = b"PKTOK001"
@@ -152,6 +152,7 @@ class WordCodec:
 
 
 _codecs: dict[str, WordCodec] = {}
+on_switch(_codecs.clear)
 
 
 def _codec(path: str, pattern: str) -> WordCodec:
@@ -185,6 +186,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str | None = None, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("packed_tokens")
         writer = None
         for batch in batches:
             sizes = packed(batch["text"])[1]

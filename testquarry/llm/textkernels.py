@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,30 @@ _PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
 
+_drops: list[Callable[[], None]] = []
+_owner = [""]
+
+
+def on_switch(drop: Callable[[], None]) -> None:
+    """Register what forgets an operator's memory in a worker process."""
+    _drops.append(drop)
+
+
+def claim(owner: str) -> None:
+    """A worker process serves one operator after the other: when the operator changes, what
+    the last one remembered is dropped and freed memory goes back to the system."""
+    if _owner[0] not in ("", owner):
+        for drop in _drops:
+            drop()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it keeps what it keeps
+            pass
+    _owner[0] = owner
+
+
 _powers: dict[str, np.ndarray] = {}
 
 

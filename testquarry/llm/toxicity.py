@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import U, chunks, mix, span_hashes, words
+from .textkernels import U, chunks, claim, mix, on_switch, span_hashes, words
 
 #: Bound of the training sample: toxic and other documents.
 TRAIN_TOXIC, TRAIN_OTHER = 2000, 3000
@@ -150,6 +150,7 @@ def suspicious(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _readings: dict[str, str] = {}
+on_switch(_readings.clear)
 
 
 def restore(data: np.ndarray, at: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,6 +298,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     broad = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for batch in batches:
             for first, last, data, at in chunks(batch["text"]):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(broad.value.scores(data, at))], names=["doc_id", "score"])
