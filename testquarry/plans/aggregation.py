@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classifiers as C
 from ..functions import scalars as S
+from ..functions import semantics as M
 from ..functions.parsers import navigation_target
 from ..operators import aggregates as A
 from ..operators import joins as J
@@ -36,17 +37,18 @@ def event_tables(features: DataFrame) -> dict[str, DataFrame]:
     base = [*KEYS, "seq", "line", "name", "source_kind", "bucket", "in_body", S.clip(raw, "event").alias("raw_code")]
     actions = features.where(t == "ui_action")
     strategy = C.preferred(F.col("locator_strategy_ast"), C.locator_strategy(name, raw, F.col("category")))
-    target = navigation_target(raw)
+    target, oracle = navigation_target(raw), C.oracle_category(name, raw)
+    setup, origin = C.setup_category(name, raw, F.col("source_kind"), t), C.input_source(F.col("input_source_ast"), name, raw)
     signature = S.json_signature(F.col("action_signature_json"), ["category", "action", "locator", "target", "value"], S.action_signature(F.col("category"), name))
     flow = ["control_flow_enclosure", "control_flow_branch_kind", "control_flow_loop_depth"]
     return {
-        "environment_events": features.where(t.isin("setup", "teardown", "network_mock", "control") | C.is_hook(F.col("source_kind"))).select(*base, C.setup_category(name, raw, F.col("source_kind"), t).alias("category")),
-        "input_events": features.where(t == "input").select(*base, C.input_source(F.col("input_source_ast"), name, raw).alias("input_source"), F.coalesce("linked_action_line", "line").alias("action_line")),
+        "environment_events": features.where(t.isin("setup", "teardown", "network_mock", "control") | C.is_hook(F.col("source_kind"))).select(*base, setup.alias("category"), M.setup_phase(F.col("source_kind"), name, raw).alias("phase"), M.setup_scope(F.col("source_kind"), F.col("attached_from_hook"), F.col("helper_depth")).alias("scope"), M.setup_intent(name, raw, category=setup).alias("primary_intent")),
+        "input_events": features.where(t == "input").select(*base, origin.alias("input_source"), M.input_plausibility(F.col("value_summary"), name, F.when(F.col("value_summary").isNull(), "unknown").otherwise("visible"), origin, F.lit("")).alias("plausibility"), F.coalesce("linked_action_line", "line").alias("action_line")),
         "locator_events": actions.select(*base, strategy["value"].alias("strategy"), strategy["basis"].alias("basis"), C.locator_signal(strategy["value"]).alias("signal")).where("strategy is not null"),
         "sync_events": features.where(t == "wait_synchronization").select(*base, C.sync_pattern(name, raw, F.col("wait_subtype_ast")).alias("pattern")),
         "workflow_events": features.select(*base, C.workflow_abstraction(t, F.col("source_kind"), F.col("helper_depth"), F.col("resolved"), raw).alias("abstraction")).where("abstraction <> 'unclear'"),
         "interaction_events": actions.select(*base, "category", signature.alias("signature"), target["target"].alias("target"), target["basis"].alias("target_basis"), *flow),
-        "assertion_events": features.where(t == "assertion").select(*base, C.oracle_category(name, raw).alias("oracle"), "assertion_chain_root_id", "assertion_chain_length", "assertion_matcher", "is_soft_assertion", "is_grouped_assertion"),
+        "assertion_events": features.where(t == "assertion").select(*base, oracle.alias("oracle"), M.verification_intent(F.col("assertion_matcher"), oracle, raw).getField("intent").alias("verification_intent"), "assertion_chain_root_id", "assertion_chain_length", "assertion_matcher", "is_soft_assertion", "is_grouped_assertion"),
     }
 
 
@@ -79,7 +81,7 @@ def by_test(spine: DataFrame, events: dict[str, DataFrame], static: DataFrame |
         "interaction_by_test": interaction,
         "assertion_by_test": A.densities(joined).join(where, KEYS, "left").join(A.assertion_chains(asserts, KEYS, matcher="assertion_matcher").drop("assertions"), KEYS, "left"),
     }
-    for name, table, label in (("environment", "environment_events", "category"), ("input", "input_events", "input_source"), ("locator", "locator_events", "strategy"), ("sync", "sync_events", "pattern"), ("workflow", "workflow_events", "abstraction"), ("oracle", "assertion_events", "oracle")):
+    for name, table, label in (("environment", "environment_events", "category"), ("input", "input_events", "input_source"), ("locator", "locator_events", "strategy"), ("sync", "sync_events", "pattern"), ("workflow", "workflow_events", "abstraction"), ("oracle", "assertion_events", "oracle"), ("intent", "assertion_events", "verification_intent"), ("setup_intent", "environment_events", "primary_intent"), ("plausibility", "input_events", "plausibility")):
         out[f"{name}_by_test"] = tests.join(A.histogram_map(events[table], KEYS, label), KEYS, "left")
     return out
 
