@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import claim, on_switch, packed
+from .textkernels import on_switch, packed, task
 from .wordsplit import WordMemory, splitter
 
 #: Bytes of text, and token rows, that one DuckDB call handles.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Words of one recursive query.
-QUERY_WORDS = 50_000
+QUERY_WORDS = 20_000
 #: Longer words are merged with a heap: the recursion takes a step for every merge.
 LONG_WORD = 512
 
@@ -105,7 +105,7 @@ class Codec:
 
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '300MB'")
+        self.db.execute("SET memory_limit = '200MB'")
         self.db.register("m_", self.merges)
         self.db.register("v_", self.vocab)
         self.db.execute("CREATE TABLE merges AS FROM m_")
@@ -184,7 +184,6 @@ def encode_decode(documents: DataFrame, path: str | None = None, pattern: str |
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("bpe")
         c = codec(path, pattern)
         c.open()
         try:
@@ -198,7 +197,7 @@ def encode_decode(documents: DataFrame, path: str | None = None, pattern: str |
         finally:
             c.close()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
+    return documents.select("doc_id", "text").mapInArrow(task("bpe", run), "doc_id long, ids binary" + ", decoded binary" * decode)
 
 
 def digests(coded: DataFrame) -> DataFrame:

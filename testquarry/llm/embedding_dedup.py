@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Forest, block_pairs, sorted_groups
 from .common import connected_components, materialize
+from .textkernels import task
 
 SIMILAR = 0.95
 #: Share of pairs at exactly SIMILAR that some table must bring together; closer pairs meet oftener.
@@ -117,9 +118,9 @@ def near_vectors(embeddings: DataFrame, similar: float = SIMILAR, recall: float
                      pa.array(np.concatenate((other[some], ids[a[1]])))], names=["rep", "links", "other"],
                 )
 
-    signed = classes.select("rep", "members", "v").mapInArrow(sign, kind)
+    signed = classes.select("rep", "members", "v").mapInArrow(task("embedding_dedup", sign), kind)
     rows = signed.select("rep", "members", "v", "signature", F.explode("bucket").alias("bucket"))
-    found = materialize(block_pairs(rows, ["bucket"], "rep").mapInArrow(links, "rep long, links long, other long"), "links")
+    found = materialize(block_pairs(rows, ["bucket"], "rep").mapInArrow(task("embedding_dedup", links), "rep long, links long, other long"), "links")
     counts = found.where("other = -1").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other <> -1").select("rep", "other"), "rep", "other")
     classes = classes.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import U, chunks, claim, mix
+from .textkernels import U, chunks, mix, task
 
 #: Bound of the training sample: documents of each language, and languages (most frequent first).
 TRAIN_PER_LANG, MAX_LANGS = 400, 200
@@ -177,7 +177,6 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     schema = plain.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid")
         m = broad.value
         for batch in batches:
             parts = [m.scores(data, at) for _, _, data, at in chunks(batch["_low"], PIECE)]
@@ -190,4 +189,4 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return plain.withColumns({"_low": low, "_letter": F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")}).mapInArrow(run, schema)
+    return plain.withColumns({"_low": low, "_letter": F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")}).mapInArrow(task("langid", run), schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, Forest, block_pairs
 from .common import connected_components, let, materialize
-from .textkernels import U, chunks, claim, mix, span_hashes
+from .textkernels import U, chunks, mix, span_hashes, task
 
 #: Shorter lines are left alone.
 MIN_WORDS = 5
@@ -30,6 +30,9 @@ BROADCAST_LINES = 4_000_000
 #: Most lines of one side of a unit in which lines are compared.
 LINKED_BLOCK = 512
 
+#: Bytes of text hashed at once: as much as a core's cache holds with its work space.
+PIECE = 1 << 17
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[i for i in range(128) if not chr(i).isalnum() and i != 10]] = 32
@@ -103,9 +106,8 @@ def simhashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
 
 def _line_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("line_dedup")
         for batch in batches:
-            for first, last, data, at in chunks(batch["text"]):
+            for first, last, data, at in chunks(batch["text"], PIECE):
                 data, at = normalised(data, at)
                 text, number, start, end = line_spans(data, at)
                 ws, we = _words(data, at)
@@ -163,9 +165,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield rest
 
 
-def _blocks(table: pa.Table) -> np.ndarray:
-    """(rows, BLOCKS / 2) words of 64 bits: two blocks each."""
-    return table["sim"].combine_chunks().flatten().to_numpy().astype(np.uint32).reshape(-1, BLOCKS).view(U)
+def _blocks(table: pa.Table) -> list[np.ndarray]:
+    """The SimHashes as words of 64 bits, one array for each word."""
+    blocks = table["sim"].combine_chunks().flatten().to_numpy()
+    narrow = np.uint16 if len(blocks) == 0 or blocks.max() < 1 << 16 else np.uint32
+    return list(np.ascontiguousarray(blocks.astype(narrow).reshape(-1, BLOCKS).view(U).T))
 
 
 def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +179,7 @@ def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np
     its unit, for d = 1, 2, ...
     """
     n = table.num_rows
-    raw = _blocks(table)
+    sims = _blocks(table)
     new = np.zeros(n, bool)
     for k in ("bucket", "bi", "bj"):
         v = table[k].to_numpy()
@@ -187,10 +191,11 @@ def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np
     while len(rows):
         d += 1
         rows = rows[rows + d < end[rows]]
-        ok = np.bitwise_count(raw[rows] ^ raw[rows + d]).sum(1, dtype=np.int32) <= most
-        ok &= ~cross[rows] | (blk[rows] != blk[rows + d])
+        far = rows + d
+        ok = sum(np.bitwise_count(x[rows] ^ x[far]).astype(np.int16) for x in sims) <= most
+        ok &= ~cross[rows] | (blk[rows] != blk[far])
         left.append(rows[ok])
-        right.append(rows[ok] + d)
+        right.append(far[ok])
     a, b = np.concatenate(left or [rows]), np.concatenate(right or [rows])
     return a, b, unit
 
@@ -344,13 +349,13 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     per_block = max(LEAST_BITS, -(-math.ceil(math.log2(documents.count() * LINES / FILL + 1)) // 4) * 4)
     bits = BLOCKS * per_block
     most = int(bits * MOST_DIFFERENT)
-    lines = materialize(documents.mapInArrow(_line_batches(bits), "doc_id long, line int, key long, sim array<int>"), "lines")
+    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(bits)), "doc_id long, line int, key long, sim array<int>"), "lines")
     classes = materialize(
         lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.any_value("sim").alias("sim"), F.count("*").alias("n")), "line-classes"
     )
     buckets = F.transform(F.col("sim"), lambda x, k: x.cast("long") * BLOCKS + k)
     rows = classes.select("node", "sim", F.explode(buckets).alias("bucket"))
-    edges = materialize(block_pairs(rows, ["bucket"], "node", BLOCK).mapInArrow(_forest_batches(most), "src long, dst long").distinct(), "line-edges")
+    edges = materialize(block_pairs(rows, ["bucket"], "node", BLOCK).mapInArrow(task("line_dedup", _forest_batches(most)), "src long, dst long").distinct(), "line-edges")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, words) of a written table's nodes, read from their first occurrence."""
@@ -360,7 +365,7 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
         wanted = materialize(wanted, "wanted-lines")
         if wanted.count() <= BROADCAST_LINES:
             wanted = F.broadcast(wanted)
-        texts = documents.join(wanted, "doc_id").mapInArrow(_wanted_batches, "node long, words string").dropDuplicates(["node"])
+        texts = documents.join(wanted, "doc_id").mapInArrow(task("line_dedup", _wanted_batches), "node long, words string").dropDuplicates(["node"])
         return materialize(texts, "line-texts")
 
     def apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -373,7 +378,7 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
 
     def confirmed(edges: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("node").alias("src"), F.col("words").alias("a")), texts.select(F.col("node").alias("dst"), F.col("words").alias("b"))
-        return materialize(edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(_similar_batches, "src long, dst long"), "line-links")
+        return materialize(edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(task("line_dedup", _similar_batches), "src long, dst long"), "line-links")
 
     # every line to its least neighbour first: a group of like lines then is one component
     best = materialize(edges.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "line-best")
@@ -391,7 +396,7 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
         again = classes.select("node", "sim").join(texts, "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         again = materialize(again.join(touched, "component", "left_semi").select("node", "sim", "component", "words"), "line-again")
         again = again.select("*", F.explode(buckets).alias("bucket"))
-        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(_linked_batches(most), "src long, dst long").distinct(), "line-links")
+        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(task("line_dedup", _linked_batches(most)), "src long, dst long").distinct(), "line-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = materialize(connected_components(links), "line-parts")

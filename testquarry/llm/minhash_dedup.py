@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Forest, block_pairs, sorted_groups
 from .common import connected_components, materialize
-from .textkernels import CHUNK, U, chunks, claim, lower_ascii, mix, packed, shingle_sets
+from .textkernels import CHUNK, U, chunks, lower_ascii, mix, packed, shingle_sets, task
 
 WIDTH = 5
 #: Links have 100 * intersection >= SIMILAR * union.
@@ -74,7 +74,6 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("minhash_dedup")
     for batch in batches:
         for first, last, data, at in chunks(batch["text"]):
             sets, offsets = shingle_sets(lower_ascii(data), at, WIDTH)
@@ -222,7 +221,7 @@ def _verified(edges: DataFrame, documents: DataFrame) -> DataFrame:
     documents = _texts_of(documents, ids)
     left, right = documents.select("doc_id", F.col("text").alias("a")), documents.select(F.col("doc_id").alias("center"), F.col("text").alias("b"))
     pairs = edges.select("center", "doc_id").join(left, "doc_id").join(right, "center").select("center", "doc_id", "a", "b")
-    return pairs.mapInArrow(_check_batches, "center long, doc_id long").distinct()
+    return pairs.mapInArrow(task("minhash_dedup", _check_batches), "center long, doc_id long").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -247,7 +246,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     documents = documents.select("doc_id", "text")
     sketch = materialize(
-        documents.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, mark1 long, mark2 long, bands array<long>, low binary"), "sketch"
+        documents.mapInArrow(task("minhash_dedup", _sketch_batches), "doc_id long, n_shingles long, mark1 long, mark2 long, bands array<long>, low binary"), "sketch"
     )
     marks = ["mark1", "mark2", "n_shingles"]
     classes = materialize(sketch.where("n_shingles > 0").groupBy(*marks).agg(F.min("doc_id").alias("rep")), "classes")
@@ -284,15 +283,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     edges = stars.join(best.select("center", "doc_id"), ["center", "doc_id"], "left_anti").select("center", "doc_id")
     joined(_verified(materialize(apart(edges), "edges"), documents))
-    edges = block_pairs(mixed(), ["bucket"], "doc_id").mapInArrow(_tree_batches, "center long, doc_id long").distinct()
+    edges = block_pairs(mixed(), ["bucket"], "doc_id").mapInArrow(task("minhash_dedup", _tree_batches), "center long, doc_id long").distinct()
     joined(_verified(materialize(edges, "edges"), documents))
     member = materialize(mixed(), "members")
-    suspects = block_pairs(member, ["bucket"], "doc_id").mapInArrow(_suspect_batches, "bucket long, doc_id long").distinct()
+    suspects = block_pairs(member, ["bucket"], "doc_id").mapInArrow(task("minhash_dedup", _suspect_batches), "bucket long, doc_id long").distinct()
     suspects = materialize(suspects, "suspects")
     if not suspects.isEmpty():
         texts = _texts_of(documents, suspects)
         unit = member.join(suspects, ["bucket", "doc_id"]).join(reps.select("doc_id", "bands"), "doc_id").join(texts.dropDuplicates(["doc_id"]), "doc_id")
-        joined(block_pairs(unit, ["bucket"], "doc_id", EXACT_BLOCK).mapInArrow(_exact_batches, "center long, doc_id long").distinct())
+        joined(block_pairs(unit, ["bucket"], "doc_id", EXACT_BLOCK).mapInArrow(task("minhash_dedup", _exact_batches), "center long, doc_id long").distinct())
 
     classes = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*marks, F.coalesce("component", "rep").alias("component_id"))
     result = sketch.select("doc_id", *marks).join(classes, marks, "left")

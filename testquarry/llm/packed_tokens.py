@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_root
-from .textkernels import claim, on_switch, packed
+from .textkernels import on_switch, packed, task
 from .wordsplit import WordMemory, splitter
 
 MAGIC = b"PKTOK001"
@@ -186,7 +186,6 @@ def write_tokens(documents: DataFrame, folder: str, path: str | None = None, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        claim("packed_tokens")
         writer = None
         for batch in batches:
             sizes = packed(batch["text"])[1]
@@ -210,7 +209,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str | None = None, pat
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [f"{root}/{name}"], "docs": pa.array([docs], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "part int, file string, docs long, tokens long"), "token-files")
+    return materialize(ordered.mapInArrow(task("packed_tokens", run), "part int, file string, docs long, tokens long"), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -243,7 +242,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         k = last
 
     n = max(1, len(starts))
-    return files.join(F.broadcast(base), "part").select("file", "base").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(base), "part").select("file", "base").repartition(n).mapInArrow(task("packed_tokens", run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def packed_tokens(documents: DataFrame, folder: str | None = None) -> DataFrame:

@@ -27,19 +27,33 @@ def on_switch(drop: Callable[[], None]) -> None:
     _drops.append(drop)
 
 
-def claim(owner: str) -> None:
-    """A worker process serves one operator after the other: when the operator changes, what
-    the last one remembered is dropped and freed memory goes back to the system."""
-    if _owner[0] not in ("", owner):
-        for drop in _drops:
-            drop()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+def release() -> None:
+    """Give freed memory back to the system: an idle worker should hold little."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
+
+
+def task(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run as an Arrow task of an operator. A worker process serves one operator after the
+    other: when the operator changes, what the last one remembered is dropped, and memory
+    that a task has freed goes back to the system when it ends."""
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _owner[0] not in ("", owner):
+            for drop in _drops:
+                drop()
+        _owner[0] = owner
         try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: it keeps what it keeps
-            pass
-    _owner[0] = owner
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return owned
 
 
 _powers: dict[str, np.ndarray] = {}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import U, chunks, claim, mix, on_switch, span_hashes, words
+from .textkernels import U, chunks, mix, on_switch, span_hashes, task, words
 
 #: Bound of the training sample: toxic and other documents.
 TRAIN_TOXIC, TRAIN_OTHER = 2000, 3000
@@ -77,7 +77,7 @@ def character_costs(codes: np.ndarray, counts: np.ndarray, weight: float = 5.0)
 def character_model(documents: DataFrame) -> np.ndarray:
     """Costs from the trigrams of all texts: tasks count, a grouped sum adds; the driver gets
     SYMBOLS ** 3 sums at most, whatever the input."""
-    sums = documents.select("text").mapInArrow(_count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    sums = documents.select("text").mapInArrow(task("toxicity", _count_batches), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     return character_costs(sums["code"].to_numpy(), sums["n"].to_numpy())
 
 
@@ -298,12 +298,11 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     broad = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("toxicity")
         for batch in batches:
             for first, last, data, at in chunks(batch["text"]):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(broad.value.scores(data, at))], names=["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(task("toxicity", run), "doc_id long, score double")
 
 
 def restore_documents(documents: DataFrame, model: Model) -> DataFrame:
@@ -318,4 +317,4 @@ def restore_documents(documents: DataFrame, model: Model) -> DataFrame:
                 out = [None if x else raw[a:b].decode() for x, a, b in zip(null, at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(out, pa.string())], names=["doc_id", "restored"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, restored string")
+    return documents.select("doc_id", "text").mapInArrow(task("toxicity", run), "doc_id long, restored string")

@@ -44,7 +44,7 @@ class WordMemory:
     """Encodes texts word by word with `merge`, which is asked once for a word as long as
     the word is remembered. Holds at most 2 * limit words, besides those of one call."""
 
-    def __init__(self, split: Callable[[str], list[str]], merge: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, split: Callable[[str], list[str]], merge: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.split, self.merge, self.limit = split, merge, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
