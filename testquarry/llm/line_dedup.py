@@ -124,8 +124,8 @@ def _line_batches(bits: int):
                 sim = simhashes(data, ws[pick], we[pick], bounds, bits)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, last - first).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)),
-                     pa.array(key.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(sim.astype(np.int32).ravel()), BLOCKS).cast(pa.list_(pa.int32()))],
-                    names=["doc_id", "line", "key", "sim"],
+                     pa.array(key.view(np.int64)), *map(pa.array, packed_blocks(sim, bits))],
+                    names=["doc_id", "line", "key", *word_names(bits)],
                 )
 
     return run
@@ -165,21 +165,33 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield rest
 
 
-def _blocks(table: pa.Table) -> list[np.ndarray]:
-    """The SimHashes as words of 64 bits, one array for each word."""
-    blocks = table["sim"].combine_chunks().flatten().to_numpy()
-    narrow = np.uint16 if len(blocks) == 0 or blocks.max() < 1 << 16 else np.uint32
-    return list(np.ascontiguousarray(blocks.astype(narrow).reshape(-1, BLOCKS).view(U).T))
+def _slot(bits: int) -> type:
+    """The type that holds a block of a SimHash of so many bits."""
+    return np.uint16 if bits <= 16 * BLOCKS else np.uint32
 
 
-def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs of a unit whose SimHashes differ in at most `most` bits, and the units' numbers.
+def word_names(bits: int) -> list[str]:
+    """Columns of a SimHash: words of 64 bits, each with as many blocks as fit."""
+    return [f"w{i}" for i in range(BLOCKS * np.dtype(_slot(bits)).itemsize // 8)]
+
+
+def packed_blocks(sim: np.ndarray, bits: int) -> list[np.ndarray]:
+    return list(np.ascontiguousarray(np.ascontiguousarray(sim.astype(_slot(bits))).view(np.int64).T))
+
+
+def block_values(table: pa.Table | pa.RecordBatch, bits: int) -> np.ndarray:
+    """(rows, BLOCKS) block numbers from the columns of word_names."""
+    return np.stack([table[w].to_numpy() for w in word_names(bits)], 1).view(_slot(bits))
+
+
+def _close_pairs(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of a unit whose SimHashes differ in few enough bits, and the units' numbers.
 
     All units of the table at once: each row meets the d-th row after it while that is in
     its unit, for d = 1, 2, ...
     """
     n = table.num_rows
-    sims = _blocks(table)
+    sims, most = [table[w].to_numpy().view(U) for w in word_names(bits)], int(bits * MOST_DIFFERENT)
     new = np.zeros(n, bool)
     for k in ("bucket", "bi", "bj"):
         v = table[k].to_numpy()
@@ -200,12 +212,12 @@ def _close_pairs(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np
     return a, b, unit
 
 
-def _forest_batches(most: int):
+def _forest_batches(bits: int):
     """A spanning forest of each unit's close pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches, ["bucket", "bi", "bj"]):
-            a, b, _ = _close_pairs(table, most)
+            a, b, _ = _close_pairs(table, bits)
             if not len(a):
                 continue
             # rows are told apart by unit, so one forest serves all units
@@ -219,7 +231,7 @@ def _forest_batches(most: int):
     return run
 
 
-def _linked_batches(most: int):
+def _linked_batches(bits: int):
     """A spanning forest of the links between components in each unit, on the lines themselves.
 
     A pair is compared in the first block that it shares, and not once its components are
@@ -228,9 +240,9 @@ def _linked_batches(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches, ["bucket", "bi", "bj"], BLOCK):
-            a, b, unit = _close_pairs(table, most)
+            a, b, unit = _close_pairs(table, bits)
             comp, node, bucket = (table[k].to_numpy() for k in ("component", "node", "bucket"))
-            sim = table["sim"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCKS)
+            sim = block_values(table, bits)
             ok = comp[a] != comp[b]
             a, b = a[ok], b[ok]
             ok = (sim[a] == sim[b]).argmax(1) == bucket[a] % BLOCKS if len(a) else np.zeros(0, bool)
@@ -348,14 +360,15 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     per_block = max(LEAST_BITS, -(-math.ceil(math.log2(documents.count() * LINES / FILL + 1)) // 4) * 4)
     bits = BLOCKS * per_block
-    most = int(bits * MOST_DIFFERENT)
-    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(bits)), "doc_id long, line int, key long, sim array<int>"), "lines")
+    words, slot = word_names(bits), 8 * np.dtype(_slot(bits)).itemsize
+    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(bits)), "doc_id long, line int, key long, " + ", ".join(f"{w} long" for w in words)), "lines")
     classes = materialize(
-        lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.any_value("sim").alias("sim"), F.count("*").alias("n")), "line-classes"
+        lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(w).alias(w) for w in words), F.count("*").alias("n")), "line-classes"
     )
-    buckets = F.transform(F.col("sim"), lambda x, k: x.cast("long") * BLOCKS + k)
-    rows = classes.select("node", "sim", F.explode(buckets).alias("bucket"))
-    edges = materialize(block_pairs(rows, ["bucket"], "node", BLOCK).mapInArrow(task("line_dedup", _forest_batches(most)), "src long, dst long").distinct(), "line-edges")
+    each = [F.shiftrightunsigned(words[k * slot // 64], k * slot % 64).bitwiseAND((1 << slot) - 1) * BLOCKS + k for k in range(BLOCKS)]
+    buckets = F.array(*each)
+    rows = classes.select("node", *words, F.explode(buckets).alias("bucket"))
+    edges = materialize(block_pairs(rows, ["bucket"], "node", BLOCK).mapInArrow(task("line_dedup", _forest_batches(bits)), "src long, dst long").distinct(), "line-edges")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, words) of a written table's nodes, read from their first occurrence."""
@@ -393,10 +406,10 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
         label = parts.select("node", "component")
         ends = failed.select(F.col("src").alias("node")).unionByName(failed.select(F.col("dst").alias("node"))).distinct()
         touched = ends.join(label, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
-        again = classes.select("node", "sim").join(texts, "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        again = materialize(again.join(touched, "component", "left_semi").select("node", "sim", "component", "words"), "line-again")
+        again = classes.select("node", *words).join(texts, "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        again = materialize(again.join(touched, "component", "left_semi").select("node", *words, "component", "words"), "line-again")
         again = again.select("*", F.explode(buckets).alias("bucket"))
-        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(task("line_dedup", _linked_batches(most)), "src long, dst long").distinct(), "line-links")
+        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(task("line_dedup", _linked_batches(bits)), "src long, dst long").distinct(), "line-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = materialize(connected_components(links), "line-parts")

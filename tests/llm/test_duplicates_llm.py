@@ -201,7 +201,7 @@ def test_lines_against_brute_force(spark):
 
     bits = line_dedup.BLOCKS * line_dedup.LEAST_BITS
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _, _ in rows]), "text": [x for _, _, x in rows]})
-    sim = np.array([s for b in line_dedup._line_batches(bits)([batch]) for s in b["sim"].to_pylist()]).astype(np.uint64)
+    sim = np.concatenate([line_dedup.block_values(b, bits) for b in line_dedup._line_batches(bits)([batch])])
     words = [re.sub("[0-9]+", "0", x) for _, _, x in rows]
     links = [
         (i, j) for i, j in combinations(range(len(rows)), 2)
