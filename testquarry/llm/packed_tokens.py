@@ -21,6 +21,8 @@ MAGIC = b"PKTOK001"
 #: Ids of a block. Every block starts at a byte, at an offset that the index holds.
 BLOCK = 8192
 END_ID = 0
+#: Words that a worker remembers at least, of some 250 bytes each, and twice as many at most.
+MEMORY = 500_000
 TEXT_BYTES = 2 << 20
 
 
@@ -140,7 +142,7 @@ class WordCodec:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.encode = WordMemory(splitter(pattern), self._merge).encode
+        self.encode = WordMemory(splitter(pattern), self._merge, MEMORY).encode
 
     def _merge(self, words: list[str]) -> list[bytes]:
         """Ids of the words, encoded in one call and parted where the words' bytes end."""
