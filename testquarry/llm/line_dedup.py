@@ -1,7 +1,8 @@
-"""Fuzzy line dedup: SimHash blocks, edit similarity, one occurrence per connected group."""
+"""Fuzzy line dedup: MinHash bands of character n-grams, edit similarity, one occurrence per connected group."""
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -20,11 +21,20 @@ MIN_WORDS = 5
 SIMILAR = 0.75
 #: Lines of more characters are compared by words, others by characters.
 LONG_LINE = 2048
-#: A SimHash is so many blocks; two lines meet where a block is equal, so none within
-#: BLOCKS - 1 bits is missed. Meeting pairs go on if at most this share of bits differ.
-BLOCKS, MOST_DIFFERENT = 8, 0.19
-#: Lines taken to be in a document, lines per bucket that set a block's bits, and the least bits.
-LINES, FILL, LEAST_BITS = 8, 32, 16
+#: Bytes of the n-grams whose MinHashes put lines into buckets, and bits of a line's sketch, one of
+#: each MinHash. Lines that meet go on if at most this share of the sketches' bits differ; unlike
+#: n-grams differ in half, those of Jaccard similarity J in (1 - J) / 2.
+GRAM, SKETCH, MOST_DIFFERENT = 5, 192, 0.34
+#: A pair with this Jaccard similarity of n-grams shares a band with this probability at every size.
+ALIKE, RECALL = 0.5, 0.95
+#: Lines taken to be in a document, and unlike lines that a line may meet in a band.
+LINES, FILL = 8, 100
+#: Share of unlike pairs that agree in r MinHashes, as measured: CHANCE * AGREE ** r.
+CHANCE, AGREE = 0.2, 0.058
+#: Bands that are searched in one pass, and a number above that of all bands.
+PASS, MOST_BANDS = 6, 1024
+#: Blocks and bits per block of the SimHash.
+BLOCKS, LEAST_BITS = 8, 16
 #: Most documents whose removed lines are broadcast, and most lines.
 BROADCAST_LINES = 4_000_000
 #: Most lines of one side of a unit in which lines are compared.
@@ -84,6 +94,7 @@ _RUN = 36
 
 def simhashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
     """(lines, BLOCKS) numbers: the signs of the weighted sums of the words' random signs.
+    duplicate_lines takes MinHashes instead, which lose fewer lightly edited lines.
 
     A word weighs its bytes less 2, within 1 and 7: short words are in most lines and would
     make long lines alike. first: each line's first word and, at the end, their number.
@@ -104,7 +115,44 @@ def simhashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     return sign @ (1 << np.arange(bits // BLOCKS, dtype=np.int32))
 
 
-def _line_batches(bits: int):
+def bands_for(n: int) -> tuple[int, int]:
+    """(rows, bands) for n lines: rows follow the logarithm of n, so that unlike lines seldom
+    meet, and bands follow rows, so that the recall at ALIKE stays at every size."""
+    rows = max(2, math.ceil(math.log(max(n * CHANCE / FILL, 1)) / -math.log(AGREE)))
+    return rows, math.ceil(math.log(1 - RECALL) / math.log(1 - ALIKE**rows))
+
+
+def minima(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int) -> np.ndarray:
+    """(count, lines) MinHashes of the byte n-grams of the lines, each of GRAM bytes or more."""
+    sizes = ends - starts - GRAM + 1
+    first = np.cumsum(sizes) - sizes
+    at = np.repeat(starts - first, sizes) + np.arange(sizes.sum())
+    gram = np.zeros(len(at), U)
+    for k in range(GRAM):
+        gram |= data[at + k].astype(U) << U(8 * k)
+    h = (mix(gram + U(1)) >> U(32)).astype(np.uint32)
+    seeds = mix(np.arange(1, count + 1, dtype=U))
+    out = np.empty((count, len(starts)), np.uint32)
+    for k, seed in enumerate(seeds.tolist()):
+        out[k] = np.minimum.reduceat((h ^ np.uint32(seed >> 32)) * np.uint32(seed & 0xFFFFFFFF | 1), first)
+    return out
+
+
+def sketched(low: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Words of 64 bits, one bit of each of the first `bits` MinHashes."""
+    one = (mix(low[:bits].astype(U)) >> U(63)).astype(np.uint8)
+    return list(np.ascontiguousarray(np.packbits(one, axis=0).T).view(np.int64).T)
+
+
+def band_hashes(low: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """(lines, bands) 32-bit hashes of each band's MinHashes."""
+    total = np.zeros((bands, low.shape[1]), U)
+    for k in range(rows):
+        total = mix(total * U(0x9E3779B97F4A7C15) + low[k * bands : (k + 1) * bands].astype(U) + U(1))
+    return np.ascontiguousarray((total >> U(32)).astype(np.uint32).T).view(np.int32)
+
+
+def _line_batches(bits: int, rows: int = 2, bands: int = 11):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in chunks(batch["text"], PIECE):
@@ -116,16 +164,16 @@ def _line_batches(bits: int):
                 ok = np.flatnonzero(count >= MIN_WORDS)
                 if not len(ok):
                     continue
-                # words of the lines that count, and where each line's begin
-                pick = np.repeat(fw[ok], count[ok]) + np.arange(count[ok].sum()) - np.repeat(np.cumsum(count[ok]) - count[ok], count[ok])
-                bounds = np.concatenate(([0], np.cumsum(count[ok])))
                 a, b = ws[fw[ok]], we[fw[ok] + count[ok] - 1]
+                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 key = span_hashes(data, a, b)
-                sim = simhashes(data, ws[pick], we[pick], bounds, bits)
+                low = minima(data, a, b, max(bits, rows * bands))
+                found = band_hashes(low, rows, bands)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, last - first).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)),
-                     pa.array(key.view(np.int64)), *map(pa.array, packed_blocks(sim, bits))],
-                    names=["doc_id", "line", "key", *word_names(bits)],
+                     pa.array(key.view(np.int64)), pa.array((chars[b] - chars[a]).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * bands), pa.array(found.ravel())), *map(pa.array, sketched(low, bits))],
+                    names=["doc_id", "line", "key", "size", "bands", *word_names(bits)],
                 )
 
     return run
@@ -165,27 +213,18 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield rest
 
 
-def _slot(bits: int) -> type:
-    """The type that holds a block of a SimHash of so many bits."""
-    return np.uint16 if bits <= 16 * BLOCKS else np.uint32
-
-
 def word_names(bits: int) -> list[str]:
-    """Columns of a SimHash: words of 64 bits, each with as many blocks as fit."""
-    return [f"w{i}" for i in range(BLOCKS * np.dtype(_slot(bits)).itemsize // 8)]
-
-
-def packed_blocks(sim: np.ndarray, bits: int) -> list[np.ndarray]:
-    return list(np.ascontiguousarray(np.ascontiguousarray(sim.astype(_slot(bits))).view(np.int64).T))
+    """Columns of a sketch: words of 64 bits."""
+    return [f"w{i}" for i in range(bits // 64)]
 
 
 def block_values(table: pa.Table | pa.RecordBatch, bits: int) -> np.ndarray:
-    """(rows, BLOCKS) block numbers from the columns of word_names."""
-    return np.stack([table[w].to_numpy() for w in word_names(bits)], 1).view(_slot(bits))
+    """(rows, bits / 16) numbers from the columns of word_names."""
+    return np.stack([table[w].to_numpy() for w in word_names(bits)], 1).view(np.uint16)
 
 
 def _close_pairs(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs of a unit whose SimHashes differ in few enough bits, and the units' numbers.
+    """Row pairs of a unit whose sketches differ in few enough bits, and the units' numbers.
 
     All units of the table at once: each row meets the d-th row after it while that is in
     its unit, for d = 1, 2, ...
@@ -199,6 +238,7 @@ def _close_pairs(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np
     unit = np.cumsum(new)
     end = np.searchsorted(unit, unit, "right")
     cross, blk = table["bi"].to_numpy() != table["bj"].to_numpy(), table["blk"].to_numpy()
+    size = table["size"].to_numpy()
     rows, d, left, right = np.arange(n), 0, [], []
     while len(rows):
         d += 1
@@ -206,6 +246,9 @@ def _close_pairs(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np
         far = rows + d
         ok = sum(np.bitwise_count(x[rows] ^ x[far]).astype(np.int16) for x in sims) <= most
         ok &= ~cross[rows] | (blk[rows] != blk[far])
+        # characters differ by no more than the edits; long lines are compared by words
+        longer = np.maximum(size[rows], size[far])
+        ok &= (longer > LONG_LINE) | (np.minimum(size[rows], size[far]) >= SIMILAR * longer - 1e-6)
         left.append(rows[ok])
         right.append(far[ok])
     a, b = np.concatenate(left or [rows]), np.concatenate(right or [rows])
@@ -234,7 +277,7 @@ def _forest_batches(bits: int):
 def _linked_batches(bits: int):
     """A spanning forest of the links between components in each unit, on the lines themselves.
 
-    A pair is compared in the first block that it shares, and not once its components are
+    A pair is compared in the first band that it shares, and not once its components are
     joined in the unit; nothing but the forest leaves the task.
     """
 
@@ -242,10 +285,10 @@ def _linked_batches(bits: int):
         for table in whole_units(batches, ["bucket", "bi", "bj"], BLOCK):
             a, b, unit = _close_pairs(table, bits)
             comp, node, bucket = (table[k].to_numpy() for k in ("component", "node", "bucket"))
-            sim = block_values(table, bits)
+            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
             ok = comp[a] != comp[b]
             a, b = a[ok], b[ok]
-            ok = (sim[a] == sim[b]).argmax(1) == bucket[a] % BLOCKS if len(a) else np.zeros(0, bool)
+            ok = (bands[a] == bands[b]).argmax(1) == bucket[a] % MOST_BANDS if len(a) else np.zeros(0, bool)
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
@@ -346,8 +389,8 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
 
     Lines are normalised; those of MIN_WORDS words or more count. Equal ones form a class,
     represented by its first occurrence by (doc_id, line). Classes meet in the buckets of
-    their SimHash's BLOCKS blocks, whose bits follow the logarithm of the number of documents;
-    a unit of a bucket gives a spanning forest of its close pairs, which are confirmed on
+    bands of MinHashes of n-grams; rows follow the logarithm of the number of documents and
+    bands follow rows (bands_for); a unit of a bucket gives a spanning forest of its close pairs, which are confirmed on
     the lines by edit similarity, each line's with its least neighbour first. Where pairs
     fail and leave components apart, these components' lines meet once more, in bounded
     units and with their texts, and every close pair between them is compared: no link
@@ -358,17 +401,28 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     document, line by line.
     """
     documents = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    per_block = max(LEAST_BITS, -(-math.ceil(math.log2(documents.count() * LINES / FILL + 1)) // 4) * 4)
-    bits = BLOCKS * per_block
-    words, slot = word_names(bits), 8 * np.dtype(_slot(bits)).itemsize
-    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(bits)), "doc_id long, line int, key long, " + ", ".join(f"{w} long" for w in words)), "lines")
+    rows, bands = bands_for(documents.count() * LINES)
+    words = word_names(SKETCH)
+    kind = "doc_id long, line int, key long, size int, bands array<int>, " + ", ".join(f"{w} long" for w in words)
+    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(SKETCH, rows, bands)), kind), "lines")
     classes = materialize(
-        lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(w).alias(w) for w in words), F.count("*").alias("n")), "line-classes"
+        lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("size", "bands", *words)), F.count("*").alias("n")), "line-classes"
     )
-    each = [F.shiftrightunsigned(words[k * slot // 64], k * slot % 64).bitwiseAND((1 << slot) - 1) * BLOCKS + k for k in range(BLOCKS)]
-    buckets = F.array(*each)
-    rows = classes.select("node", *words, F.explode(buckets).alias("bucket"))
-    edges = materialize(block_pairs(rows, ["bucket"], "node", BLOCK).mapInArrow(task("line_dedup", _forest_batches(bits)), "src long, dst long").distinct(), "line-edges")
+
+    def bucket(first: int = 0, count: int = bands):
+        """A row for each of some bands, the bucket being the band's hash and number."""
+        return F.explode(F.transform(F.slice("bands", first + 1, count), lambda h, k: h.cast("long").bitwiseAND(0xFFFFFFFF) * MOST_BANDS + k + first)).alias("bucket")
+
+    edges = None
+    for first in range(0, bands, PASS):
+        met = block_pairs(classes.select("node", "size", *words, bucket(first, PASS)), ["bucket"], "node", BLOCK)
+        part = materialize(met.mapInArrow(task("line_dedup", _forest_batches(SKETCH)), "src long, dst long").distinct(), "line-edges")
+        edges = part if edges is None else edges.unionByName(part)
+        # the pass's shuffle files go when the driver drops what refers to them
+        del met
+        gc.collect()
+        documents.sparkSession.sparkContext._jvm.System.gc()
+    edges = materialize(edges.distinct(), "line-edges")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, words) of a written table's nodes, read from their first occurrence."""
@@ -406,10 +460,10 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
         label = parts.select("node", "component")
         ends = failed.select(F.col("src").alias("node")).unionByName(failed.select(F.col("dst").alias("node"))).distinct()
         touched = ends.join(label, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
-        again = classes.select("node", *words).join(texts, "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        again = materialize(again.join(touched, "component", "left_semi").select("node", *words, "component", "words"), "line-again")
-        again = again.select("*", F.explode(buckets).alias("bucket"))
-        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(task("line_dedup", _linked_batches(bits)), "src long, dst long").distinct(), "line-links")
+        again = classes.select("node", "size", "bands", *words).join(texts, "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        again = materialize(again.join(touched, "component", "left_semi").select("node", "size", "bands", *words, "component", "words"), "line-again")
+        again = again.select("*", bucket())
+        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(task("line_dedup", _linked_batches(SKETCH)), "src long, dst long").distinct(), "line-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = materialize(connected_components(links), "line-parts")

@@ -227,3 +227,35 @@ def test_simhash_meets_lightly_edited_lines(share, least):
             sims.append(line_dedup.simhashes(data, s, e, np.array([0, len(s)]), 128)[0])
         met += (sims[0] == sims[1]).any()
     assert met >= least * 200
+
+
+@pytest.mark.parametrize("documents", [50, 2_000_000])
+def test_lines_meet_at_every_size(documents):
+    """Pairs above the bound by edit similarity alone: two typos in ten words, and a fifth of the words replaced."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    rows, bands = line_dedup.bands_for(documents * line_dedup.LINES)
+    pairs = []
+    for k in range(200):
+        a = [word() for _ in range(10 if k % 2 else 40)]
+        b = a[:]
+        for i in rng.sample(range(len(a)), 2 if k % 2 else 8):
+            b[i] = "~" + b[i][1:] if k % 2 else word()
+            b[i] = b[i].replace("~", "q")
+        pairs.append((" ".join(a), " ".join(b)))
+    pairs = [p for p in pairs if line_dedup.similar_lines(*p)]
+    text = "\n".join(x for p in pairs for x in p).encode()
+    data = np.frombuffer(text, np.uint8)
+    _, _, start, end = line_dedup.line_spans(data, np.array([0, len(data)]))
+    low = line_dedup.minima(data, start, end, max(line_dedup.SKETCH, rows * bands))
+    band = line_dedup.band_hashes(low, rows, bands)
+    sketch = np.stack(line_dedup.sketched(low, line_dedup.SKETCH), 1).view(np.uint64)
+    met = (band[::2] == band[1::2]).any(1) & (np.bitwise_count(sketch[::2] ^ sketch[1::2]).sum(1) <= line_dedup.SKETCH * line_dedup.MOST_DIFFERENT)
+    assert len(pairs) >= 190 and met.mean() >= 0.93
+
+
+def test_typos_are_found(spark):
+    a = "several people walked slowly through green gardens yesterday before sunset"
+    b = a.replace("walked", "wolked").replace("gardens", "gurdens")
+    df = spark.createDataFrame([(k * 2 + i, f"{t} {chr(97 + k) * 6}") for k in range(20) for i, t in enumerate((a, b))], "doc_id long, text string")
+    assert {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(df).collect()} == {(i, 0) for i in range(1, 40)}
