@@ -34,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one occurrence of each group of like lines; documents left without a word go."""
-    clean = line_dedup.dedup_lines(docs)
+    clean = line_dedup.dedup_lines(docs, shortest=1)
     clean = clean.where((F.col("n_removed") == 0) | F.col("text").rlike(f"[^{SPACE}]")).select(*docs.columns)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 

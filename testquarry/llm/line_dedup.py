@@ -15,8 +15,8 @@ from .blocks import BLOCK, Forest, block_pairs
 from .common import connected_components, let, materialize
 from .textkernels import U, chunks, mix, span_hashes, task
 
-#: Shorter lines are left alone.
-MIN_WORDS = 5
+#: Lines of fewer words and characters are only compared exactly, where they are compared at all.
+MIN_WORDS, MIN_CHARS = 5, 20
 #: Least edit similarity of a link: 1 - distance / length of the longer line.
 SIMILAR = 0.75
 #: Lines of more characters are compared by words, others by characters.
@@ -152,7 +152,7 @@ def band_hashes(low: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return np.ascontiguousarray((total >> U(32)).astype(np.uint32).T).view(np.int32)
 
 
-def _line_batches(bits: int, rows: int = 2, bands: int = 11):
+def _line_batches(bits: int, rows: int = 2, bands: int = 11, shortest: int = MIN_WORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in chunks(batch["text"], PIECE):
@@ -161,18 +161,24 @@ def _line_batches(bits: int, rows: int = 2, bands: int = 11):
                 ws, we = _words(data, at)
                 fw = np.append(np.searchsorted(ws, start), len(ws))
                 count = np.searchsorted(ws, end) - fw[:-1]
-                ok = np.flatnonzero(count >= MIN_WORDS)
-                if not len(ok):
-                    continue
+                ok = np.flatnonzero(count > 0)
                 a, b = ws[fw[ok]], we[fw[ok] + count[ok] - 1]
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                fuzzy = (count[ok] >= MIN_WORDS) | (chars[b] - chars[a] >= MIN_CHARS)
+                use = fuzzy | (count[ok] >= shortest)
+                ok, a, b, fuzzy = ok[use], a[use], b[use], fuzzy[use]
+                if not len(ok):
+                    continue
                 key = span_hashes(data, a, b)
-                low = minima(data, a, b, max(bits, rows * bands))
-                found = band_hashes(low, rows, bands)
+                low = np.zeros((max(bits, rows * bands), len(ok)), np.uint32)
+                if fuzzy.any():
+                    low[:, fuzzy] = minima(data, a[fuzzy], b[fuzzy], len(low))
+                # a line that is only compared exactly is in no band
+                found = band_hashes(low, rows, bands)[fuzzy]
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, last - first).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)),
                      pa.array(key.view(np.int64)), pa.array((chars[b] - chars[a]).astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * bands), pa.array(found.ravel())), *map(pa.array, sketched(low, bits))],
+                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(fuzzy))).astype(np.int32) * np.int32(bands)), pa.array(found.ravel())), *map(pa.array, sketched(low, bits))],
                     names=["doc_id", "line", "key", "size", "bands", *word_names(bits)],
                 )
 
@@ -384,10 +390,12 @@ def _wanted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_t, pa.string())], names=["node", "words"])
 
 
-def duplicate_lines(documents: DataFrame) -> DataFrame:
+def duplicate_lines(documents: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
     """doc_id, line: the lines to remove, numbered from 0; all but the first of each group.
 
-    Lines are normalised; those of MIN_WORDS words or more count. Equal ones form a class,
+    Lines are normalised; those of `shortest` words or more or of MIN_CHARS characters count,
+    and a line without a word never does. Those of fewer than MIN_WORDS words and MIN_CHARS
+    characters only equal others exactly. Equal lines form a class,
     represented by its first occurrence by (doc_id, line). Classes meet in the buckets of
     bands of MinHashes of n-grams; rows follow the logarithm of the number of documents and
     bands follow rows (bands_for); a unit of a bucket gives a spanning forest of its close pairs, which are confirmed on
@@ -404,7 +412,7 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     rows, bands = bands_for(documents.count() * LINES)
     words = word_names(SKETCH)
     kind = "doc_id long, line int, key long, size int, bands array<int>, " + ", ".join(f"{w} long" for w in words)
-    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(SKETCH, rows, bands)), kind), "lines")
+    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(SKETCH, rows, bands, shortest)), kind), "lines")
     classes = materialize(
         lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("size", "bands", *words)), F.count("*").alias("n")), "line-classes"
     )
@@ -475,7 +483,7 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line", "key").join(several, "key").where(F.struct("doc_id", "line") != F.col("keep")).select("doc_id", "line").distinct()
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
     """documents with n_lines, n_removed and text without duplicate lines.
 
     A text keeps its other lines, joined by line feeds as they were; a null text stays null
@@ -483,7 +491,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     replaced where it has them.
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    removed = duplicate_lines(documents).groupBy("doc_id").agg(F.collect_list("line").alias("_removed"))
+    removed = duplicate_lines(documents, shortest).groupBy("doc_id").agg(F.collect_list("line").alias("_removed"))
     removed = materialize(removed.withColumnRenamed("doc_id", "_doc"), "removed")
     if (removed.agg(F.sum(F.size("_removed"))).first()[0] or 0) <= BROADCAST_LINES:
         removed = F.broadcast(removed)

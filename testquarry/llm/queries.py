@@ -66,7 +66,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    clean = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"), shortest=1)
     return clean.select("doc_id", "n_lines", "n_removed", unsigned_crc(F.coalesce("text", F.lit(""))).alias("clean_crc32"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("clean_chars"))
 
 

@@ -259,3 +259,11 @@ def test_typos_are_found(spark):
     b = a.replace("walked", "wolked").replace("gardens", "gurdens")
     df = spark.createDataFrame([(k * 2 + i, f"{t} {chr(97 + k) * 6}") for k in range(20) for i, t in enumerate((a, b))], "doc_id long, text string")
     assert {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(df).collect()} == {(i, 0) for i in range(1, 40)}
+
+
+def test_short_lines_and_lines_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 37 * k % 2000) for k in range(40))
+    rows = [(1, f"Yes\n\n---\n{han}\n你好"), (2, f"yes!\n\n---\n{han}\n你好\nno"), (3, f"Yes sir\n{han[:20]}们{han[21:]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(df, shortest=1).collect()}
+    assert got == {(2, 0), (2, 3), (2, 4), (3, 1)}
