@@ -27,11 +27,11 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c",
 }
-#: Costs, in nats: of reading a sign as a letter, of dropping a repeated letter, a sign
-#: between letters, and a sign that may be a letter.
-READ, REPEAT, BETWEEN, SKIP = 1.5, 0.7, 0.3, 9.0
-#: Letters in a row, each a word, that count as spaced out; spans kept with their reading.
-SPACED, MEMORY = 4, 200_000
+#: Costs, in nats: of reading a sign as a letter, of dropping a repeated letter in a run of three
+#: or more and in one of two, a sign between letters, and a sign that may be a letter.
+READ, REPEAT, DOUBLE, BETWEEN, SKIP = 1.5, 0.7, 4.0, 0.3, 9.0
+#: Letters and signs in a row, each a word, that count as spaced out; spans kept with their reading.
+SPACED, MEMORY = 3, 200_000
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -84,19 +84,19 @@ def character_model(documents: DataFrame) -> np.ndarray:
 def read_span(span: str, costs: np.ndarray) -> str:
     """The likeliest reading of a written span: a Viterbi path through its character lattice.
 
-    A letter stands for itself, and may be dropped after another in a run of three or more. A sign
-    stands for one of its letters or is dropped; other characters are dropped.
+    A letter stands for itself, and may be dropped after another in a run. A sign stands for
+    one of its letters or is dropped; other characters are dropped, or stay and part words.
     """
     # state: the last two symbols; value: cost and letters read
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for i, c in enumerate(span):
         raw = c.encode()
         if len(raw) > 1 or c.isalpha():
-            steps = [(c, 0.0)] + ([("", REPEAT)] if c == span[i - 1 : i] and c in (span[i - 2 : i - 1], span[i + 1 : i + 2]) else [])
+            steps = [(c, 0.0)] + ([("", REPEAT if c in (span[i - 2 : i - 1], span[i + 1 : i + 2]) else DOUBLE)] if i and c == span[i - 1] else [])
         elif c in LEET:
             steps = [(x, READ) for x in LEET[c]] + [("", SKIP)]
         else:
-            steps = [("", BETWEEN)]
+            steps = [("", BETWEEN), (c, 0.0)]
         following: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in paths.items():
             for letter, step in steps:
@@ -112,36 +112,39 @@ def read_span(span: str, costs: np.ndarray) -> str:
     return min((cost + float(costs[a, b, 0]), text) for (a, b), (cost, text) in paths.items())[1]
 
 
-def suspicious(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans that may hide a word: words with a sign before a letter or a digit beside one,
-    with a letter three times in a row, with letters parted by single signs, and runs of
-    SPACED or more one-letter words."""
+def suspicious(data: np.ndarray, at: np.ndarray, doubled: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that may hide a word: words with a sign or digit beside a letter, with anything
+    between letters, with a letter three times in a row (twice, if doubled), and runs of
+    SPACED or more words of one letter or sign each."""
     starts, ends, first = words(data, at)
     if not len(starts):
         return starts, ends
     low = _LOWER[data]
     letter, n = _LETTER[data], len(data)
     after, prior = np.append(letter[1:], False), np.concatenate(([False], letter[:-1]))
-    odd = (_SIGN[data] & after) | (_DIGIT[data] & prior)
-    triple = np.zeros(n, bool)
-    triple[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2]) & (data[2:] < 128)
-    parted = np.zeros(n, bool)
-    other = ~letter & ~_DIGIT[data]
-    if n > 6:
-        parted[6:] = letter[6:] & other[5:-1] & letter[4:-2] & other[3:-3] & letter[2:-4] & other[1:-5] & letter[:-6]
+    # an exclamation mark after a word ends it
+    odd = (_SIGN[data] & (after | (prior & (data != 33))))
+    double = np.zeros(n, bool)
+    double[1:] = letter[1:] & (low[1:] == low[:-1]) & (data[1:] < 128)
+    if not doubled:
+        double[1:] &= double[:-1]
+    begins = letter & ~prior
+
     def inside(mask: np.ndarray, margin: int = 0) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(mask)))
         return sums[ends] > sums[np.minimum(starts + margin, ends)]
 
-    flagged = inside(odd) | inside(triple, 2) | inside(parted, 6)
+    flagged = inside(odd) | inside(double, 1 if doubled else 2)
+    runs = np.concatenate(([0], np.cumsum(begins)))
+    flagged |= runs[ends] - runs[starts] + (letter[starts] & ~begins[starts]) >= 2
     letters = np.concatenate(([0], np.cumsum(letter)))
     flagged &= letters[ends] - letters[starts] >= 2
-    single = (ends - starts == 1) & _ASCII[data[starts]]
+    single = (ends - starts == 1) & (_ASCII | _SIGN)[data[starts]]
     edge = np.zeros(len(starts) + 1, bool)
     edge[first] = True
     run = np.cumsum(~single | edge[:-1] | np.concatenate(([True], ~single[:-1])))
     size = np.bincount(run, single)[run]
-    spaced = single & (size >= SPACED)
+    spaced = single & (size >= SPACED) & (np.bincount(run, single & letter[starts])[run] >= 2)
     head = spaced & np.concatenate(([True], (run[1:] != run[:-1]) | ~spaced[:-1]))
     tail = spaced & np.concatenate(((run[1:] != run[:-1]) | ~spaced[1:], [True]))
     a, b = np.concatenate((starts[flagged], starts[head])), np.concatenate((ends[flagged], ends[tail]))
@@ -155,7 +158,7 @@ on_switch(_readings.clear)
 
 def restore(data: np.ndarray, at: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts with every suspicious span read; others as they are."""
-    a, b = suspicious(data, at)
+    a, b = suspicious(data, at, doubled=True)
     if not len(a):
         return data, at
     pieces, delta, done = [], np.zeros(len(a), np.int64), 0

@@ -113,3 +113,11 @@ def test_one_class_of_labels_gives_low_scores(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     m = toxicity.train(docs, labels, F.lit(True))
     assert toxicity.score_documents(docs, m).first().score < 0.1
+
+
+@pytest.mark.parametrize("written", ["h 0 r r i b l e", "r 0 t t e n", "worthle$$", "hor.rible", "rot-ten", "rootten", "worthlesss"])
+def test_lightly_hidden_words_are_restored(spark, model, written):
+    plain = {"w": "worthless", "h": "horrible", "r": "rotten"}[written[0]]
+    raw = f"kato miru {written} kami".encode()
+    data, at = toxicity.restore(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.costs)
+    assert data.tobytes().decode() == f"kato miru {plain} kami"
