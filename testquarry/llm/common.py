@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 SPACE = " \t-\r"
 
 #: Most edges of a graph that one task joins: 16 bytes each on the wire, some 200 in memory.
-TASK_EDGES = 500_000
+TASK_EDGES = 20_000
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -49,6 +51,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like `name` that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
@@ -79,11 +89,11 @@ def _forest_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component): the smallest id each node reaches; nodes without edges don't appear.
 
-    Up to task_edges distinct edges, a fixed bound, are one task's union-find. More take
-    alternating large-star and small-star steps: each is a grouped minimum (combined before
+    Alternating large-star and small-star steps: each is a grouped minimum (combined before
     the shuffle) and an equi join whose hot side adaptive execution can split, so a
     component that holds most rows never meets in one task. Every round is written to the
-    scratch folder, and rounds grow with the logarithm of a component's size.
+    scratch folder, and rounds grow with the logarithm of a component's size. A graph of at
+    most task_edges distinct edges, a fixed bound of a few megabytes, is one task's union-find.
     Nulls and self-loops are dropped; an empty edge list gives an empty result.
     """
     work = (
@@ -118,3 +128,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", t
     return work.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         work.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def merged_components(parts: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """parts (node, component), a written table, after more edges: only the graph of the
+    components that these join is searched, and nodes take their component's new label."""
+    a, b = (parts.select(F.col("node").alias(k), F.col("component").alias("c_" + k)) for k in (src, dst))
+    joined = edges.join(a, src, "left").join(b, dst, "left").select(F.coalesce("c_" + src, src).alias("src"), F.coalesce("c_" + dst, dst).alias("dst"))
+    over = materialize(connected_components(joined), "cc-over")
+    moved = parts.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(over.join(parts, "node", "left_anti"))
+
+
+def small_enough(table: DataFrame, lists: str, width: int, rows_of: int = 64, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table whose rows hold `lists`, of `width` bytes an entry, and rows_of
+    bytes besides, takes `most` bytes in memory at most."""
+    rows, entries = table.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return rows * rows_of + (entries or 0) * width <= most

@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .textkernels import U, chunks, mix, task
 
 #: Bound of the training sample: documents of each language, and languages (most frequent first).
 TRAIN_PER_LANG, MAX_LANGS = 400, 200
+#: Bound of a training text; texts that are predicted are whole.
+TRAIN_BYTES = 1 << 18
 #: Hashed subwords (byte n-grams of lower-cased text), their buckets and dimensions.
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 8
 #: Bytes scored at once, each with some 150 bytes of work space.
@@ -23,6 +26,8 @@ EPOCHS, STEPS, BATCH, RATE, EMB_RATE = 4, 600, 256, 1.0, 100.0
 SEED = 11
 #: Least score that is ever accepted, and precision that accepted predictions must reach on the calibration rows.
 LEAST_SCORE, PRECISION = 0.5, 0.995
+#: Share of correctly recognised calibration rows that the bound may reject at most.
+MOST_LOST = 0.01
 UNKNOWN = "und"
 
 
@@ -135,14 +140,15 @@ def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
         for least in np.concatenate(([0.0], np.sort(top))):
             if right[top >= least].mean() >= PRECISION:
                 break
-        model.least = max(model.least, float(min(least, np.quantile(top[right], 0.1) if right.any() else 0.0)))
+        model.least = max(model.least, float(min(least, np.quantile(top[right], MOST_LOST) if right.any() else 0.0)))
     return model
 
 
 def training_rows(documents: DataFrame, eligible: Column, per_lang: int = TRAIN_PER_LANG, seed: int = SEED) -> list:
-    """About per_lang rows (text, lang) of each language, chosen by a hash of doc_id: bounded by
-    MAX_LANGS * per_lang however large the input. Counting reads no text."""
-    able = documents.where(eligible & F.col("lang").isNotNull())
+    """About per_lang rows (text, lang) of each language, chosen by a hash of doc_id, one for each
+    doc_id and language and TRAIN_BYTES of a text at most: bounded in bytes however large the
+    input. Rows without a doc_id aren't learned from. Counting reads no text."""
+    able = documents.where(eligible & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return []
@@ -150,7 +156,8 @@ def training_rows(documents: DataFrame, eligible: Column, per_lang: int = TRAIN_
     draw, chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(space)), F.lit(False)
     for r in counts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (draw < int(space * min(1.0, per_lang / r["n"]))))
-    return able.where(chosen & F.col("text").isNotNull()).select("doc_id", "text", "lang").collect()
+    drawn = able.where(chosen & F.col("text").isNotNull()).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, TRAIN_BYTES // 4)).alias("text"))
+    return drawn.select("doc_id", "text", "lang").collect()
 
 
 def train(documents: DataFrame, eligible: Column | None = None, per_lang: int = TRAIN_PER_LANG) -> Model | None:
@@ -166,7 +173,8 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     A null text, or one without a letter, is UNKNOWN with score 0 and rejected, as is
     everything where there is no model. Otherwise lang_pred is the likeliest language, the
     score its calibrated probability, and it is rejected below the model's bound. Columns
-    of the input of these three names are replaced; all others stay.
+    of the input of these three names are replaced; all others stay, whatever their names.
+    Repeated rows stay; an empty table gives an empty result.
     """
     names = [c for c in documents.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
     plain = documents.select(*names)
@@ -174,14 +182,15 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
         return plain.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)})
     broad = documents.sparkSession.sparkContext.broadcast(model)
 
+    low_name, letter_name = (unused(c, documents.columns) for c in ("low", "letter"))
     schema = plain.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broad.value
         for batch in batches:
-            parts = [m.scores(data, at) for _, _, data, at in chunks(batch["_low"], PIECE)]
+            parts = [m.scores(data, at) for _, _, data, at in chunks(batch[low_name], PIECE)]
             p = np.concatenate(parts) if parts else np.zeros((0, len(m.langs)))
-            letter = batch["_letter"].to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch[letter_name].to_numpy(zero_copy_only=False).astype(bool)
             score = np.where(letter, p.max(1), 0.0)
             lang = np.array(m.langs, object)[p.argmax(1)]
             lang[~letter] = UNKNOWN
@@ -189,4 +198,4 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return plain.withColumns({"_low": low, "_letter": F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")}).mapInArrow(task("langid", run), schema)
+    return plain.withColumns({low_name: low, letter_name: F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")}).mapInArrow(task("langid", run), schema)

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkernels import U, chunks, mix, on_switch, span_hashes, task, words
+from .textkernels import U, chunks, mix, span_hashes, task, words
 
-#: Bound of the training sample: toxic and other documents.
+#: Bound of the training sample: toxic and other documents, as expected.
 TRAIN_TOXIC, TRAIN_OTHER = 2000, 3000
+#: Bound of a training text; texts that are scored are whole.
+TRAIN_BYTES = 1 << 18
 #: Texts that a feature must be in to count.
 MIN_DOCS = 4
 SEED = 23
@@ -30,8 +32,11 @@ LEET = {
 #: Costs, in nats: of reading a sign as a letter, of dropping a repeated letter in a run of three
 #: or more and in one of two, a sign between letters, and a sign that may be a letter.
 READ, REPEAT, DOUBLE, BETWEEN, SKIP = 1.5, 0.7, 4.0, 0.3, 9.0
-#: Letters and signs in a row, each a word, that count as spaced out; spans kept with their reading.
-SPACED, MEMORY = 3, 200_000
+#: Letters and signs in a row, each a word, that count as spaced out.
+SPACED = 3
+#: Bytes of the readings that a worker remembers, the longest span among them, and steps
+#: after which a reading's certain part is read out.
+MEMORY, LONGEST, WINDOW = 32 << 20, 200, 2048
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -81,35 +86,97 @@ def character_model(documents: DataFrame) -> np.ndarray:
     return character_costs(sums["code"].to_numpy(), sums["n"].to_numpy())
 
 
-def read_span(span: str, costs: np.ndarray) -> str:
+class SpanReader:
+    """Reads spans under one character model, and remembers readings up to a bound in bytes.
+
+    The memory belongs to the model: another model reads anew. It doesn't travel with it.
+    """
+
+    def __init__(self, costs: np.ndarray):
+        self.costs = np.ascontiguousarray(costs, np.float32)
+        self.flat = memoryview(self.costs.reshape(-1))
+        self.known: dict[str, str] = {}
+        self.size = 0
+
+    def __reduce__(self):
+        return SpanReader, (self.costs,)
+
+    def read(self, span: str) -> str:
+        """read_span of a lower-cased span without the punctuation that ends it."""
+        got = self.known.get(span)
+        if got is None:
+            got = read_span(span.rstrip("!.,;:?\"')"), self.flat)
+            if len(span) <= LONGEST:
+                self.size += 200 + 4 * (len(span) + len(got))
+                if self.size > MEMORY:
+                    self.known, self.size = {}, 0
+                self.known[span] = got
+        return got
+
+
+def _steps(span: str, i: int) -> list[tuple[str, float]]:
+    """What the i-th character of a span may stand for, with costs."""
+    c = span[i]
+    if ord(c) > 127 or c.isalpha():
+        return [(c, 0.0)] + ([("", REPEAT if c in (span[i - 2 : i - 1], span[i + 1 : i + 2]) else DOUBLE)] if i and c == span[i - 1] else [])
+    if c in LEET:
+        return [(x, READ) for x in LEET[c]] + [("", SKIP)]
+    return [("", BETWEEN), (c, 0.0)]
+
+
+def read_span(span: str, costs: memoryview) -> str:
     """The likeliest reading of a written span: a Viterbi path through its character lattice.
 
     A letter stands for itself, and may be dropped after another in a run. A sign stands for
     one of its letters or is dropped; other characters are dropped, or stay and part words.
+    costs: flat, of three symbols each. Of two paths of equal cost that meet, the one that
+    comes from the lesser state with the lesser letter stays. Time is linear in the span:
+    steps keep back-pointers, and whatever all open paths share is read out every WINDOW steps.
     """
-    # state: the last two symbols; value: cost and letters read
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for i, c in enumerate(span):
-        raw = c.encode()
-        if len(raw) > 1 or c.isalpha():
-            steps = [(c, 0.0)] + ([("", REPEAT if c in (span[i - 2 : i - 1], span[i + 1 : i + 2]) else DOUBLE)] if i and c == span[i - 1] else [])
-        elif c in LEET:
-            steps = [(x, READ) for x in LEET[c]] + [("", SKIP)]
-        else:
-            steps = [("", BETWEEN), (c, 0.0)]
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in paths.items():
+    # state: the last two symbols, as one number
+    cost: dict[int, float] = {0: 0.0}
+    back: list[dict[int, tuple[int, str]]] = []
+    read: list[str] = []
+    symbols: dict[str, list[int]] = {}
+
+    def unwind(state: int, last: int) -> None:
+        """Read out the steps before `last` on the path to a state there."""
+        letters = []
+        for step in reversed(back[:last]):
+            state, letter = step[state]
+            letters.append(letter)
+        read.extend(reversed(letters))
+
+    for i in range(len(span)):
+        following: dict[int, float] = {}
+        come: dict[int, tuple[int, str]] = {}
+        steps = _steps(span, i)
+        for letter, _ in steps:
+            if letter not in symbols:
+                symbols[letter] = [int(_SYMBOL[k]) for k in letter.encode()]
+        for state, so_far in cost.items():
             for letter, step in steps:
-                x, y, total = a, b, cost + step
-                for k in letter.encode():
-                    z = int(_SYMBOL[k])
-                    total += float(costs[x, y, z])
-                    x, y = y, z
-                old = following.get((x, y))
-                if old is None or (total, text + letter) < old:
-                    following[x, y] = (total, text + letter)
-        paths = following
-    return min((cost + float(costs[a, b, 0]), text) for (a, b), (cost, text) in paths.items())[1]
+                at, total = state, so_far + step
+                for z in symbols[letter]:
+                    total += costs[at * SYMBOLS + z]
+                    at = at % SYMBOLS * SYMBOLS + z
+                old = following.get(at)
+                if old is None or total < old or (total == old and (state, letter) < come[at]):
+                    following[at] = total
+                    come[at] = (state, letter)
+        cost = following
+        back.append(come)
+        if len(back) >= WINDOW:
+            shared, k = set(cost), len(back)
+            while len(shared) > 1 and k:
+                k -= 1
+                shared = {back[k][x][0] for x in shared}
+            if k:
+                unwind(shared.pop(), k)
+                del back[:k]
+    end = min(cost, key=lambda x: (cost[x] + costs[x * SYMBOLS], x))
+    unwind(end, len(back))
+    return "".join(read)
 
 
 def suspicious(data: np.ndarray, at: np.ndarray, doubled: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -152,23 +219,14 @@ def suspicious(data: np.ndarray, at: np.ndarray, doubled: bool = False) -> tuple
     return a[order], b[order]
 
 
-_readings: dict[str, str] = {}
-on_switch(_readings.clear)
-
-
-def restore(data: np.ndarray, at: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def restore(data: np.ndarray, at: np.ndarray, reader: SpanReader) -> tuple[np.ndarray, np.ndarray]:
     """Texts with every suspicious span read; others as they are."""
     a, b = suspicious(data, at, doubled=True)
     if not len(a):
         return data, at
     pieces, delta, done = [], np.zeros(len(a), np.int64), 0
     for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-        span = data[i:j].tobytes().decode(errors="replace").lower()
-        got = _readings.get(span)
-        if got is None:
-            if len(_readings) >= MEMORY:
-                _readings.clear()
-            got = _readings[span] = read_span(span.rstrip("!.,;:?\"')"), costs)
+        got = reader.read(data[i:j].tobytes().decode(errors="replace").lower())
         raw = got.encode()
         pieces += [data[done:i], np.frombuffer(raw, np.uint8)]
         delta[k], done = len(raw) - (j - i), j
@@ -198,7 +256,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    costs: np.ndarray
+    reader: SpanReader
     known: np.ndarray  # sorted feature hashes
     weight: np.ndarray
     scale: tuple[float, float, float]  # of a text's largest weight, its sum, and 1
@@ -217,7 +275,7 @@ class Model:
         return out
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x = self.evidence(*restore(data, at, self.costs))
+        x = self.evidence(*restore(data, at, self.reader))
         z = self.scale[0] * x[:, 0] + self.scale[1] * np.log1p(x[:, 1]) + self.scale[2]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -228,7 +286,7 @@ def _parts(texts: list[str], step: int = 256) -> Iterator[tuple[int, np.ndarray,
         yield i, np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
 
 
-def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
+def fit(texts: list[str], labels: list[int], reader: SpanReader) -> Model:
     """Weights are lower bounds (two deviations) of the features' log odds over documents;
     those below 1 are dropped. Two of three texts give the weights, the others the logistic
     scale, so that it is fitted on weights it did not shape."""
@@ -236,7 +294,7 @@ def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
     tune = np.arange(len(y)) % 3 == 2
     hashes, owners = [], []
     for i, data, at in _parts(texts):
-        text, h = features(*restore(data, at, costs))
+        text, h = features(*restore(data, at, reader))
         use = ~tune[text + i]
         text, h = text[use].astype(np.int32), h[use]
         order = np.lexsort((text, h))
@@ -258,8 +316,8 @@ def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     low = odds - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     keep = (low >= 1) & (pos + neg >= MIN_DOCS)
-    model = Model(costs, known[keep], low[keep], (0.0, 0.0, 0.0))
-    x = np.concatenate([model.evidence(*restore(data, at, costs)) for _, data, at in _parts([t for t, k in zip(texts, tune) if k])] or [np.zeros((0, 2))])
+    model = Model(reader, known[keep], low[keep], (0.0, 0.0, 0.0))
+    x = np.concatenate([model.evidence(*restore(data, at, reader)) for _, data, at in _parts([t for t, k in zip(texts, tune) if k])] or [np.zeros((0, 2))])
     x = np.column_stack((x[:, 0], np.log1p(x[:, 1]), np.ones(len(x))))
     t, w = y[tune].astype(float), np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
@@ -272,24 +330,28 @@ def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
 
 def training_rows(documents: DataFrame, labels: DataFrame, eligible: Column, seed: int = SEED) -> list:
     """Bounded sample (doc_id, text, toxic): labels are drawn by a hash of doc_id, and only the
-    documents of those drawn, whose number is bounded, are read out."""
-    marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(eligible)
+    documents of those drawn are read out, one for each doc_id and TRAIN_BYTES of a text at
+    most: the sample takes a bounded number of bytes however large the input. A doc_id with
+    two labels counts as toxic; null ids and labels count for nothing."""
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(eligible)
     counts = dict(marks.groupBy("toxic").count().collect())
     space, draw, chosen = 1 << 30, F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)), F.lit(False)
     for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_OTHER)):
         if n := counts.get(value):
             chosen = chosen | ((F.col("toxic") == value) & (draw < int(space * min(1.0, most / n))))
     drawn = marks.where(chosen)
-    return documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").collect()
+    text = F.substring("text", 1, TRAIN_BYTES // 4).alias("text")
+    found = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null")
+    return found.groupBy("doc_id", "toxic").agg(F.min(text).alias("text")).collect()
 
 
 def train(documents: DataFrame, labels: DataFrame, eligible: Column) -> Model:
     """A character model of all texts and a word model of a bounded sample of labelled ones."""
-    costs = character_model(documents)
+    reader = SpanReader(character_model(documents))
     rows = sorted(training_rows(documents, labels, eligible), key=lambda r: (r.doc_id, r.text))
     if not any(r.toxic for r in rows) or all(r.toxic for r in rows):
-        return Model(costs, np.zeros(0, U), np.zeros(0), (0.0, 0.0, -3.0))
-    return fit([r.text for r in rows], [r.toxic for r in rows], costs)
+        return Model(reader, np.zeros(0, U), np.zeros(0), (0.0, 0.0, -3.0))
+    return fit([r.text for r in rows], [r.toxic for r in rows], reader)
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
@@ -315,7 +377,7 @@ def restore_documents(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in chunks(batch["text"]):
-                data, at = restore(data, at, broad.value.costs)
+                data, at = restore(data, at, broad.value.reader)
                 raw, null = data.tobytes(), batch["text"].slice(first, last - first).is_null().to_pylist()
                 out = [None if x else raw[a:b].decode() for x, a, b in zip(null, at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(out, pa.string())], names=["doc_id", "restored"])

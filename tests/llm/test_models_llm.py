@@ -119,5 +119,123 @@ def test_one_class_of_labels_gives_low_scores(spark):
 def test_lightly_hidden_words_are_restored(spark, model, written):
     plain = {"w": "worthless", "h": "horrible", "r": "rotten"}[written[0]]
     raw = f"kato miru {written} kami".encode()
-    data, at = toxicity.restore(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.costs)
+    data, at = toxicity.restore(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.reader)
     assert data.tobytes().decode() == f"kato miru {plain} kami"
+
+
+def every_reading(span, costs):
+    """Least cost over all paths of the lattice, by exhaustive search."""
+    S = toxicity.SYMBOLS
+    best = None
+
+    def walk(i, a, b, total, text):
+        nonlocal best
+        if i == len(span):
+            total += float(costs[(a * S + b) * S])
+            best = min(best, (total, text)) if best else (total, text)
+            return
+        for letter, step in toxicity._steps(span, i):
+            x, y, t = a, b, total + step
+            for k in letter.encode():
+                z = int(toxicity._SYMBOL[k])
+                t += float(costs[(x * S + y) * S + z])
+                x, y = y, z
+            walk(i + 1, x, y, t, text + letter)
+
+    walk(0, 0, 0, 0.0, "")
+    return best
+
+
+def reading_cost(span, read, costs):
+    """Least cost of the paths that read a span as `read`."""
+    S = toxicity.SYMBOLS
+    paths = {("", 0, 0): 0.0}
+    for i in range(len(span)):
+        new = {}
+        for (text, a, b), total in paths.items():
+            for letter, step in toxicity._steps(span, i):
+                if not read.startswith(text + letter):
+                    continue
+                x, y, t = a, b, total + step
+                for k in letter.encode():
+                    z = int(toxicity._SYMBOL[k])
+                    t += float(costs[(x * S + y) * S + z])
+                    x, y = y, z
+                key = (text + letter, x, y)
+                new[key] = min(new.get(key, t), t)
+        paths = new
+    return min(t + float(costs[(a * S + b) * S]) for (text, a, b), t in paths.items() if text == read)
+
+
+def test_viterbi_against_exhaustive_search(model, monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW", 4)
+    rng = random.Random(3)
+    for _ in range(150):
+        span = "".join(rng.choice("aorstiéwh01357$@! .-") for _ in range(rng.randrange(1, 9)))
+        got = toxicity.read_span(span, model.reader.flat)
+        want = every_reading(span, model.reader.flat)
+        assert abs(reading_cost(span, got, model.reader.flat) - want[0]) < 1e-6, span
+
+
+def test_models_do_not_share_readings(model):
+    rng = np.random.default_rng(1)
+    other = toxicity.SpanReader(rng.random((toxicity.SYMBOLS,) * 3, np.float32) * 9)
+    spans = [f"w0r{k}hl3$$" for k in range(5)]
+    first = [model.reader.read(x) for x in spans]
+    alone = [toxicity.read_span(x, other.flat) for x in spans]
+    assert [other.read(x) for x in spans] == alone != first
+    assert [model.reader.read(x) for x in spans] == first
+
+
+def test_long_spans_are_read_in_linear_time(spark, model):
+    import pickle
+    import time
+
+    began = time.time()
+    got = model.reader.read("a1b2" * 50_000)
+    assert len(got) >= 100_000 and time.time() - began < 60 and model.reader.size < toxicity.MEMORY
+    assert not pickle.loads(pickle.dumps(model)).reader.known
+    docs = spark.createDataFrame([(1, "kato " * 100_000 + "w0rthless h0rrible"), (2, "a1" * 5000), (None, "kato"), (1, None)], "doc_id long, text string")
+    assert toxicity.score_documents(docs, model).count() == 4
+
+
+def test_training_sample_is_bounded_by_ids_and_bytes(spark):
+    docs = spark.createDataFrame([(1, "worthless")] * 500 + [(None, "kato")] * 500 + [(2, "mi " * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, F.lit(True))
+    assert sorted((r.doc_id, r.toxic, len(r.text) <= toxicity.TRAIN_BYTES // 4) for r in rows) == [(1, 1, True), (2, 0, True)]
+    tagged = docs.withColumn("lang", F.lit("aa"))
+    found = langid.training_rows(tagged, F.lit(True))
+    assert len(found) <= 2 and all(r.doc_id in (1, 2) and len(r.text) <= langid.TRAIN_BYTES // 4 for r in found)
+
+
+def plain_scores(model, text):
+    """The softmax over the mean of a text's subword rows, one n-gram at a time."""
+    raw = text.encode()
+    rows = []
+    for order in langid.ORDERS:
+        for k in range(len(raw) - order + 1):
+            code = order
+            for byte in raw[k : k + order]:
+                code = (code * 0x100000001B3 + byte) & (1 << 64) - 1
+            x = code
+            x ^= x >> 33
+            x = x * 0xFF51AFD7ED558CCD & (1 << 64) - 1
+            x ^= x >> 33
+            x = x * 0xC4CEB9FE1A85EC53 & (1 << 64) - 1
+            x ^= x >> 33
+            rows.append(model.table[x % langid.BUCKETS])
+    z = (np.mean(rows, 0) if rows else np.zeros(len(model.langs))) + model.bias
+    z = z / model.heat
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_scores_against_a_plain_model(spark, texts):
+    model = langid.fit([t for _, t, _ in texts], [lang for _, _, lang in texts])
+    for text in [t for _, t, _ in texts[:15]] + ["k", "éa"]:
+        raw = text.encode()
+        assert np.allclose(model.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], plain_scores(model, text), atol=1e-4)
+    df = spark.createDataFrame([(1, "kato mi", "a", 2)], "doc_id long, text string, low string, letter int")
+    row = langid.identify(df, model).first()
+    assert (row.low, row.letter) == ("a", 2) and row.lang_pred == "aa"
