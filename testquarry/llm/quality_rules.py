@@ -9,8 +9,9 @@ from .common import SPACE, let, materialize, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host goes when its failure rate is above LEAST_RATE and its odds are above FACTOR times
+#: those of the prior's mean, by the posterior's lower bound of DEVIATIONS deviations.
+LEAST_RATE, FACTOR, DEVIATIONS = 0.2, 2.0, 2.0
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (1.0, 1.0e6)
 
@@ -64,12 +65,14 @@ def document_rules(documents: DataFrame, host: Column | None = None) -> DataFram
     )
 
 
-def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """host, host_docs, host_failed, host_rate (shrunk), host_bad; a row per host.
+def host_verdicts(rules: DataFrame, least_rate: float = LEAST_RATE, factor: float = FACTOR) -> DataFrame:
+    """host, host_docs, host_failed, host_rate (shrunk), host_low (its lower bound), host_bad; a row per host.
 
     The prior is a beta fitted by moments to all hosts' rates, weighted by their documents:
     mean m and weight m(1-m)/v-1 within PRIOR_WEIGHT (the upper bound where the rates don't
-    vary). One row of moments goes to the driver. Without documents there are no hosts.
+    vary). A host's posterior is the beta of that prior and its documents; it is bad when the
+    posterior's mean less DEVIATIONS standard deviations is above least_rate and above the
+    rate whose odds are `factor` times those of m. So a host with few documents, or one no worse than the others, isn't. One row of moments goes to the driver. Without documents there are no hosts.
     """
     hosts = materialize(
         rules.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")),
@@ -83,10 +86,11 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     low, high = PRIOR_WEIGHT
     weight = min(high, max(low, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else high
     rate = (F.col("host_failed") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
-    return hosts.select("*", F.round(rate, 9).alias("host_rate"), (rate > max_rate).alias("host_bad"))
+    low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (F.col("host_docs") + F.lit(weight + 1)))
+    return hosts.select("*", F.round(rate, 9).alias("host_rate"), F.round(low, 9).alias("host_low"), (low > max(least_rate, factor * mean / (1 + (factor - 1) * mean))).alias("host_bad"))
 
 
-def quality_rules(documents: DataFrame, host: Column | None = None, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def quality_rules(documents: DataFrame, host: Column | None = None, least_rate: float = LEAST_RATE, factor: float = FACTOR) -> DataFrame:
     """document_rules with its host's figures and kept = neither rule nor host failed.
 
     The measured rows (some tens of bytes each) are written once and read twice, so texts
@@ -94,6 +98,6 @@ def quality_rules(documents: DataFrame, host: Column | None = None, max_rate: fl
     broadcasts it where its size allows and otherwise sorts and splits hot hosts.
     """
     rules = materialize(document_rules(documents, host), "rules")
-    hosts = host_verdicts(rules, max_rate).withColumnRenamed("host", "h")
+    hosts = host_verdicts(rules, least_rate, factor).withColumnRenamed("host", "h")
     joined = rules.join(hosts, F.coalesce(rules["host"], F.lit("\0")) == F.coalesce(hosts["h"], F.lit("\0")), "left")
     return joined.drop("h").withColumn("kept", ~F.col("base_failed") & ~F.col("host_bad"))

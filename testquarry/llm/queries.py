@@ -25,7 +25,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_docs", "host_failed", "host_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_docs", "host_failed", "host_rate", "host_low", "host_bad"
     )
 
 
@@ -93,8 +93,10 @@ WITH d AS (
 h AS (SELECT host, count(*) AS host_docs, count(*) FILTER (base_failed) AS host_failed FROM b GROUP BY host),
 p AS (SELECT sum(host_failed)::DOUBLE / sum(host_docs) AS mean, greatest(0, sum(host_failed::DOUBLE * host_failed / host_docs) / sum(host_docs) - (sum(host_failed)::DOUBLE / sum(host_docs)) ** 2) AS spread FROM h),
 q AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(1e6, greatest(1, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS weight FROM p),
-v AS (SELECT h.*, (host_failed + mean * weight) / (host_docs + weight) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, b.host, host_docs, host_failed, round(rate, 9) AS host_rate
+u AS (SELECT h.*, mean, weight, (host_failed + mean * weight) / (host_docs + weight) AS rate FROM h, q),
+v AS (SELECT *, rate - 2 * sqrt(rate * (1 - rate) / (host_docs + weight + 1)) AS low FROM u)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND low <= greatest(0.2, 2 * mean / (1 + mean)) AS kept,
+       b.host, host_docs, host_failed, round(rate, 9) AS host_rate, round(low, 9) AS host_low, low > greatest(0.2, 2 * mean / (1 + mean)) AS host_bad
 FROM b JOIN v ON b.host IS NOT DISTINCT FROM v.host
 """
 

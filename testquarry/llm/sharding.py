@@ -110,11 +110,13 @@ def _boundaries(groups: DataFrame, shards: int) -> tuple[list[str], int]:
 def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: all documents in shards of near equal bytes.
 
-    Atomic groups are documents of equal text, ordered by the SHA-256 of the text. A group
-    that is larger than its fair share of what remains gets a shard of its own, first shards
-    first; there are at most as many as shards, so the driver can hold them. The other
-    groups, in order, are cut into the remaining shards at the smallest capacity that holds
-    them. Slots number each shard's rows from 0: rows are ranked within PARTS parts of a
+    Atomic groups are documents of equal text. Their order: groups that are larger than a
+    fair share of what is left come first, the largest first (fewer than there are shards,
+    so the driver can hold them), then all others by the SHA-256 of the text. The order is
+    cut into contiguous shards; a large group is a shard, which is the least that holds it,
+    and the others are cut at the smallest capacity at which a greedy pass puts them all
+    into the shards left. Where that capacity leaves slack, cuts are placed evenly within
+    it, so that slack isn't left to the last shard. Slots number each shard's rows from 0: rows are ranked within PARTS parts of a
     shard, whose counts (shards * PARTS rows, a fixed bound) give the parts' offsets, so
     that no shard is numbered by a single task.
 

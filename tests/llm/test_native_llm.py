@@ -1,5 +1,6 @@
 """Host rules, sharding and mixing against plain Python, with nulls, ties and empty tables."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -50,6 +51,29 @@ def test_hosts_are_shrunk_and_joined_back(spark):
         assert min(raw, mean) - 1e-9 <= shrunk <= max(raw, mean) + 1e-9
 
 
+def test_bad_hosts_go_in_query_and_sql(spark, tmp_path):
+    """Both a bad host and a small one with as bad a rate, in the query's own table."""
+    import duckdb
+
+    from testquarry.llm import queries
+
+    good, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    rows = [(i, bad if i % 12 == 0 else good, "en", f"src{i % 7}") for i in range(1400)]
+    rows += [(5000 + i, bad if i % 5 else good, "en", "poor") for i in range(80)] + [(6000 + i, bad if i else good, "en", "tiny") for i in range(2)]
+    rows += [(7000, good, "en", None), (7001, None, "en", None), (7002, (good + " ") * 2000, "en", "src1"), (7003, good, "en", "src1"), (7004, good, "en", "src1")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_quality_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.RULES_SQL)
+    names = got.columns
+    assert sorted(want.columns) == sorted(names)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.select(*names).fetchall(), key=str)
+    by_host = {r.host: r.host_bad for r in got.collect()}
+    assert by_host.pop("poor") and not any(by_host.values())
+    assert got.where("host = 'poor' and kept").count() == 0 and got.where("host = 'tiny' and kept").count() == 1
+
+
 def test_no_documents(spark):
     none = documents(spark, [])
     assert quality_rules.quality_rules(none).count() == 0
