@@ -21,8 +21,8 @@ MAGIC = b"PKTOK001"
 #: Ids of a block. Every block starts at a byte, at an offset that the index holds.
 BLOCK = 8192
 END_ID = 0
-#: Words that a worker remembers at least, of some 250 bytes each, and twice as many at most.
-MEMORY = 500_000
+#: Bytes of the words that a worker remembers.
+MEMORY = 128 << 20
 TEXT_BYTES = 2 << 20
 
 
@@ -61,6 +61,7 @@ class Writer:
         self.docs: list[np.ndarray] = []
         self.starts: list[np.ndarray] = []
         self.offsets: list[int] = []
+        self.nulls = 0
         sink.write(MAGIC)
 
     def _block(self, ids: np.ndarray) -> None:
@@ -69,7 +70,9 @@ class Writer:
         self.sink.write(data)
         self.at += len(data)
 
-    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, nulls: int = 0) -> None:
+        """Documents with their ids; the first `nulls` of them, which only others like them precede, have no doc_id."""
+        self.nulls += nulls
         self.docs.append(doc_ids.astype("<i8"))
         self.starts.append((self.total + np.cumsum(sizes) - sizes).astype("<i8"))
         self.total += len(ids)
@@ -85,7 +88,7 @@ class Writer:
         docs = sum(map(len, self.docs))
         for part in (*self.docs, *self.starts, np.array(self.offsets, "<i8")):
             self.sink.write(part.tobytes())
-        footer = json.dumps({"bits": self.bits, "block": BLOCK, "docs": docs, "tokens": self.total, "index": self.at, "blocks": len(self.offsets)}).encode()
+        footer = json.dumps({"bits": self.bits, "block": BLOCK, "docs": docs, "tokens": self.total, "index": self.at, "blocks": len(self.offsets), "nulls": self.nulls}).encode()
         self.sink.write(footer + struct.pack("<I", len(footer)) + MAGIC)
         return docs, self.total
 
@@ -101,6 +104,7 @@ class Reader:
             raise ValueError("not a packed token file")
         f = json.loads(source.read_at(n, size - 12 - n))
         self.bits, self.block, self.docs, self.tokens = f["bits"], f["block"], f["docs"], f["tokens"]
+        self.nulls = f["nulls"]
         index = np.frombuffer(source.read_at(8 * (2 * self.docs + f["blocks"]), f["index"]), "<i8")
         self.doc_ids, self.starts, self.offsets = index[: self.docs], index[self.docs : 2 * self.docs], index[2 * self.docs :]
         self.end = f["index"]
@@ -127,7 +131,8 @@ class Reader:
 class WordCodec:
     """The tokenizers library applied word by word: its byte-level splitter parts a text by a
     fixed pattern and merges within the parts, so equal words have equal ids and the
-    library sees each word once."""
+    library sees each word once. Texts that hold the string of an added token, which it
+    looks for first, go to the library whole."""
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -136,13 +141,22 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a token's characters stand for its bytes one to one
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.encode = WordMemory(splitter(pattern), self._merge, MEMORY).encode
+        self.memory = WordMemory(splitter(pattern), self._merge, MEMORY)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not whole:
+            return self.memory.encode(texts)
+        out = self.memory.encode(["" if i in set(whole) else t for i, t in enumerate(texts)])
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def _merge(self, words: list[str]) -> list[bytes]:
         """Ids of the words, encoded in one call and parted where the words' bytes end."""
@@ -153,14 +167,14 @@ class WordCodec:
         return [raw[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]
 
 
-_codecs: dict[str, WordCodec] = {}
+_codecs: dict[tuple[str, str], WordCodec] = {}
 on_switch(_codecs.clear)
 
 
 def _codec(path: str, pattern: str) -> WordCodec:
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path, pattern)
-    return _codecs[path]
+    if (path, pattern) not in _codecs:
+        _codecs[path, pattern] = WordCodec(path, pattern)
+    return _codecs[path, pattern]
 
 
 def _filesystem(uri: str):
@@ -176,25 +190,24 @@ def write_tokens(documents: DataFrame, folder: str, path: str | None = None, pat
     block by block, into a file of its own name in `folder`, a URI that all executors share.
     Returns, from a written table, a row per file: part (in doc_id order), file, docs,
     tokens. A task that runs twice writes two files, and only the one whose row was kept is
-    listed. A null or empty text has the end id alone; rows that share a doc_id all stay,
-    ordered by text; an empty table gives no file. Other columns are dropped.
+    listed. A null or empty text has the end id alone; a null doc_id comes before all others
+    and stays null; rows that share a doc_id all stay, ordered by a hash of the text, and may
+    be dealt to several files; an empty table gives no file. Other columns are dropped.
     """
-    import public_tokenizers
-
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
-    pattern = pattern or public_tokenizers.PATTERN
     root = folder if "://" in folder else "file://" + folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers  # where the worker has it
         from pyspark import TaskContext
 
+        at, how = path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
         writer = None
         for batch in batches:
             sizes = packed(batch["text"])[1]
             first = 0
             while first < batch.num_rows:
                 last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + TEXT_BYTES, "right")) - 1)
-                codec = _codec(path, pattern)
+                codec = _codec(at, how)
                 if writer is None:
                     fs, base = _filesystem(root)
                     fs.create_dir(base, recursive=True)
@@ -203,19 +216,23 @@ def write_tokens(documents: DataFrame, folder: str, path: str | None = None, pat
                     writer = Writer(sink, width(codec.tokenizer.get_vocab_size()))
                 end = np.array([END_ID], "<u4").tobytes()
                 ids = [b + end for b in codec.encode([t or "" for t in batch["text"].slice(first, last - first).to_pylist()])]
-                writer.add(batch["doc_id"].slice(first, last - first).to_numpy(), np.array([len(b) // 4 for b in ids]), np.frombuffer(b"".join(ids), "<u4"))
+                docs = batch["doc_id"].slice(first, last - first)
+                writer.add(docs.fill_null(0).to_numpy(), np.array([len(b) // 4 for b in ids]), np.frombuffer(b"".join(ids), "<u4"), docs.null_count)
                 first = last
         if writer is not None:
             docs, tokens = writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [f"{root}/{name}"], "docs": pa.array([docs], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(task("packed_tokens", run), "part int, file string, docs long, tokens long"), "token-files")
+    # equal ids and texts are told apart by their place, so that any number of them can be split
+    keys = ["doc_id", "_hash", "_place"]
+    ordered = documents.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(ordered.select("doc_id", "text").mapInArrow(task("packed_tokens", run), "part int, file string, docs long, tokens long"), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files of write_tokens.
+    A document without a doc_id has a null one.
 
     start counts the ids of all files and documents before it. One row per file goes to the
     driver for the files' starts.
@@ -240,7 +257,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         ids, s = reader.ids(int(reader.starts[k]), int(ends[last - 1])).astype("<u4"), reader.starts[k:last]
                         cut = [int(x - s[0]) for x in s] + [len(ids)]
                         crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut, cut[1:])]
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(reader.doc_ids[k:last]), "start": pa.array(s + base), "n_tokens": pa.array(ends[k:last] - s), "ids_crc32": pa.array(crc, pa.int64())})
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(reader.doc_ids[k:last], mask=np.arange(k, last) < reader.nulls), "start": pa.array(s + base), "n_tokens": pa.array(ends[k:last] - s), "ids_crc32": pa.array(crc, pa.int64())})
                         k = last
 
     n = max(1, len(starts))
