@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .textkernels import task
 
 #: Most rows of one side of a block pair.
 BLOCK = 2048
+#: One ident in so many measures the buckets.
+SAMPLE = 16
+#: Edges of one part of a star.
+STAR = 256
 
 
 def block_pairs(rows: DataFrame, bucket: list[str], ident: str, block: int = BLOCK) -> DataFrame:
@@ -20,10 +25,14 @@ def block_pairs(rows: DataFrame, bucket: list[str], ident: str, block: int = BLO
     ident, and each pair of blocks becomes a unit of work of its own; others are one unit.
 
     Rows come sorted by bucket, bi, bj within partitions that are dealt by (bucket, bi, bj): a hot bucket spreads over the cluster, and no task holds more than two blocks
-    of a bucket at once. Buckets are counted in a first pass; the large ones, fewer than one
-    for `block` rows, are a written table when they are joined.
+    of a bucket at once. Buckets are measured in a first pass by the rows of one ident in
+    SAMPLE, drawn by a hash, so a block is of about the size asked for; which pairs meet
+    doesn't depend on it. The large ones, fewer than one for `block` rows, are a written
+    table when they are joined.
     """
-    large = materialize(rows.groupBy(*bucket).agg(F.count("*").alias("_n")).where(f"_n > {block}").select(*bucket, F.ceil(F.col("_n") / block).cast("int").alias("_b")), "large")
+    drawn = rows.where(F.pmod(F.xxhash64(ident, F.lit(3)), F.lit(SAMPLE)) == 0) if block >= 16 * SAMPLE else rows
+    rate = SAMPLE if block >= 16 * SAMPLE else 1
+    large = materialize(drawn.groupBy(*bucket).agg(F.count("*").alias("_n")).where(f"_n * {rate} > {block}").select(*bucket, F.ceil(F.col("_n") * rate / block).cast("int").alias("_b")), "large")
     keys = [*bucket, "bi", "bj"]
     if large.isEmpty():
         whole = rows.withColumns({k: F.lit(0) for k in ("blk", "bi", "bj")})
@@ -59,6 +68,41 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield rest
 
 
+def _star_batches(same: Callable[[list[str], list[str]], list[bool]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, at = "", (None, None)
+        for batch in batches:
+            src, dst, chunk, payload = (batch[k].to_pylist() for k in ("src", "dst", "chunk", "payload"))
+            rows, heads = [], []
+            for i, d in enumerate(dst):
+                if d is None:
+                    head, at = payload[i], (src[i], chunk[i])
+                else:
+                    assert (src[i], chunk[i]) == at
+                    rows.append(i)
+                    heads.append(head)
+            kept = pa.array([i for i, ok in zip(rows, same(heads, [payload[i] for i in rows])) if ok], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["src"].take(kept), batch["dst"].take(kept)], names=["src", "dst"])
+
+    return run
+
+
+def confirm_stars(edges: DataFrame, texts: DataFrame, owner: str, same: Callable[[list[str], list[str]], list[bool]]) -> DataFrame:
+    """The edges (src, dst), from a written table, for which `same` of the payloads holds, given for many edges at once.
+
+    A src of many edges is dealt into parts of some STAR edges: its payload (texts: node,
+    payload) is shipped once for each part, a dst's once for each of its edges, and no task
+    holds more than one src's payload and a batch.
+    """
+    edges = edges.select("src", "dst")
+    parts = edges.groupBy("src").agg(F.ceil(F.count("*") / STAR).alias("n"))
+    dealt = edges.join(parts, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("n")).alias("chunk"))
+    members = dealt.join(texts.withColumnRenamed("node", "dst"), "dst").select("src", "chunk", "dst", "payload")
+    heads = dealt.select("src", "chunk").distinct().join(texts.withColumnRenamed("node", "src"), "src").select("src", "chunk", F.lit(None).cast("long").alias("dst"), "payload")
+    rows = heads.unionByName(members).repartition("src", "chunk").sortWithinPartitions("src", "chunk", F.col("dst").asc_nulls_first())
+    return rows.mapInArrow(task(owner, _star_batches(same)), "src long, dst long")
+
+
 class Forest:
     """Union-find over 0..n-1; the root of a set is its least member."""
 

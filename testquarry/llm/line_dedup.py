@@ -11,33 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, Forest, block_pairs
-from .common import connected_components, let, materialize
+from .blocks import BLOCK, Forest, block_pairs, confirm_stars
+from .common import connected_components, let, materialize, merged_components, small_enough
 from .textkernels import U, chunks, mix, span_hashes, task
 
 #: Lines of fewer words and characters are only compared exactly, where they are compared at all.
 MIN_WORDS, MIN_CHARS = 5, 20
 #: Least edit similarity of a link: 1 - distance / length of the longer line.
 SIMILAR = 0.75
-#: Lines of more characters are compared by words, others by characters.
-LONG_LINE = 2048
-#: Bytes of the n-grams whose MinHashes put lines into buckets, and bits of a line's sketch, one of
-#: each MinHash. Lines that meet go on if at most this share of the sketches' bits differ; unlike
-#: n-grams differ in half, those of Jaccard similarity J in (1 - J) / 2.
-GRAM, SKETCH, MOST_DIFFERENT = 5, 192, 0.34
-#: A pair with this Jaccard similarity of n-grams shares a band with this probability at every size.
-ALIKE, RECALL = 0.5, 0.95
-#: Lines taken to be in a document, and unlike lines that a line may meet in a band.
-LINES, FILL = 8, 100
-#: Share of unlike pairs that agree in r MinHashes, as measured: CHANCE * AGREE ** r.
-CHANCE, AGREE = 0.2, 0.058
+#: Bytes of the n-grams, MinHashes of a line (one permutation, so many bins), and of a band.
+#: Fixed: which lines meet doesn't depend on how many other lines there are.
+GRAM, BINS, ROWS, BANDS = 10, 36, 2, 12
+#: A line's sketch has three bits of each MinHash. Lines that meet go on if at least so many
+#: cells agree: of unlike lines one in eight does, at Jaccard similarity J that and J of the rest.
+CELL, LEAST_AGREED = 3, 14
 #: Bands that are searched in one pass, and a number above that of all bands.
 PASS, MOST_BANDS = 6, 1024
-#: Blocks and bits per block of the SimHash.
-BLOCKS, LEAST_BITS = 8, 16
-#: Most documents whose removed lines are broadcast, and most lines.
-BROADCAST_LINES = 4_000_000
-#: Most lines of one side of a unit in which lines are compared.
+#: Most lines of one side of a unit in which lines themselves are compared.
 LINKED_BLOCK = 512
 
 #: Bytes of text hashed at once: as much as a core's cache holds with its work space.
@@ -86,73 +76,66 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-#: The bits of a byte as eight counters of one byte each.
-_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
-#: Words whose weights, at most 7 each, fit into a counter.
-_RUN = 36
+def minima(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(lines, BINS) MinHashes of the byte n-grams of lines of eight bytes or more.
 
-
-def simhashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
-    """(lines, BLOCKS) numbers: the signs of the weighted sums of the words' random signs.
-    duplicate_lines takes MinHashes instead, which lose fewer lightly edited lines.
-
-    A word weighs its bytes less 2, within 1 and 7: short words are in most lines and would
-    make long lines alike. first: each line's first word and, at the end, their number.
+    One permutation: an n-gram's hash gives its bin and its value. An empty bin copies a
+    full one, the same way for all lines (optimal densification).
     """
-    h, weight = span_hashes(data, starts, ends), (np.clip(ends - starts, 3, 9) - 2)
-    count = np.diff(first)
-    runs = -(-count // _RUN)
-    run_first = np.concatenate(([0], np.cumsum(runs)))
-    begin = np.repeat(first[:-1], runs) + _RUN * (np.arange(run_first[-1]) - np.repeat(run_first[:-1], runs))
-    counters, step = np.empty((len(begin), bits // 8), np.uint64), 2048
-    for k in range(0, len(begin), step):
-        lo = int(begin[k])
-        hi = int(begin[k + step]) if k + step < len(begin) else len(h)
-        raw = np.stack([mix(h[lo:hi] + U(w * 0x9E3779B97F4A7C15 & (2**64 - 1))) for w in range(-(-bits // 64))], 1).view(np.uint8)[:, : bits // 8]
-        counters[k : k + step] = np.add.reduceat(_LANES[raw] * weight[lo:hi, None].astype(np.uint64), begin[k : k + step] - lo, axis=0)
-    ones = np.add.reduceat(counters.view(np.uint8), run_first[:-1], axis=0, dtype=np.int32)
-    sign = (2 * ones > np.add.reduceat(weight, first[:-1])[:, None]).reshape(len(count), BLOCKS, -1)
-    return sign @ (1 << np.arange(bits // BLOCKS, dtype=np.int32))
-
-
-def bands_for(n: int) -> tuple[int, int]:
-    """(rows, bands) for n lines: rows follow the logarithm of n, so that unlike lines seldom
-    meet, and bands follow rows, so that the recall at ALIKE stays at every size."""
-    rows = max(2, math.ceil(math.log(max(n * CHANCE / FILL, 1)) / -math.log(AGREE)))
-    return rows, math.ceil(math.log(1 - RECALL) / math.log(1 - ALIKE**rows))
-
-
-def minima(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int) -> np.ndarray:
-    """(count, lines) MinHashes of the byte n-grams of the lines, each of GRAM bytes or more."""
-    sizes = ends - starts - GRAM + 1
-    first = np.cumsum(sizes) - sizes
-    at = np.repeat(starts - first, sizes) + np.arange(sizes.sum())
-    gram = np.zeros(len(at), U)
-    for k in range(GRAM):
-        gram |= data[at + k].astype(U) << U(8 * k)
-    h = (mix(gram + U(1)) >> U(32)).astype(np.uint32)
-    seeds = mix(np.arange(1, count + 1, dtype=U))
-    out = np.empty((count, len(starts)), np.uint32)
-    for k, seed in enumerate(seeds.tolist()):
-        out[k] = np.minimum.reduceat((h ^ np.uint32(seed >> 32)) * np.uint32(seed & 0xFFFFFFFF | 1), first)
-    return out
-
-
-def sketched(low: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Words of 64 bits, one bit of each of the first `bits` MinHashes."""
-    one = (mix(low[:bits].astype(U)) >> U(63)).astype(np.uint8)
-    return list(np.ascontiguousarray(np.packbits(one, axis=0).T).view(np.int64).T)
-
-
-def band_hashes(low: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """(lines, bands) 32-bit hashes of each band's MinHashes."""
-    total = np.zeros((bands, low.shape[1]), U)
-    for k in range(rows):
-        total = mix(total * U(0x9E3779B97F4A7C15) + low[k * bands : (k + 1) * bands].astype(U) + U(1))
-    return np.ascontiguousarray((total >> U(32)).astype(np.uint32).T).view(np.int32)
-
-
-def _line_batches(bits: int, rows: int = 2, bands: int = 11, shortest: int = MIN_WORDS):
+    sizes = np.maximum(ends - starts - GRAM + 1, 1)
+    first, n = np.cumsum(sizes) - sizes, len(starts)
+    tail = np.concatenate((data, np.full(2 * GRAM, 10, np.uint8))).astype(U)
+    x = tail
+    for width in (1, 2, 4):  # eight bytes as one number
+        x = x[:-width] | x[width:] << U(8 * width)
+    gram = x[: len(data)] * U(0x9E3779B97F4A7C15) + (tail[8 : len(data) + 8] | tail[9 : len(data) + 9] << U(8))
+    h = mix(gram[np.repeat(starts - first, sizes) + np.arange(sizes.sum())] + U(1))
+    place = np.repeat(np.arange(n) * BINS, sizes) + ((h >> U(48)) * U(BINS) >> U(16)).astype(np.int64)
+    low = np.full(n * BINS, _EMPTY, np.uint32)
+    np.minimum.at(low, place, np.minimum((h >> U(12)).astype(np.uint32), _EMPTY - np.uint32(1)))
+    low = low.reshape(n, BINS)
+    t, b = np.nonzero(low == _EMPTY)
+    filled, attempt = low.copy(), 0
+    while len(t):
+        attempt += 1
+        got = low[t, (mix(np.arange(BINS, dtype=U) * U(0xD6E8FEB86659FD93) + U(attempt)) % U(BINS)).astype(np.int64)[b]]
+        hit = got != _EMPTY
+        filled[t[hit], b[hit]] = got[hit]
+        t, b = t[~hit], b[~hit]
+    return filled
+
+
+_EMPTY = np.uint32(0xFFFFFFFF)
+#: The lowest bit of each cell of half a sketch.
+_CELLS = U(sum(1 << CELL * k for k in range(BINS // 2)))
+
+
+def sketched(low: np.ndarray) -> np.ndarray:
+    """(lines, 2) numbers of CELL bits of each MinHash."""
+    cell = mix(low.astype(U)).reshape(len(low), 2, -1) >> U(64 - CELL)
+    return (cell << np.arange(0, CELL * BINS // 2, CELL, dtype=U)).sum(2, dtype=U)
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many cells of two half sketches are equal."""
+    d = x ^ y
+    return BINS // 2 - np.bitwise_count((d | d >> U(1) | d >> U(2)) & _CELLS).astype(np.int16)
+
+
+def band_hashes(low: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) 32-bit hashes of each band's MinHashes."""
+    total = np.zeros((len(low), BANDS), U)
+    for k in range(ROWS):
+        total = mix(total * U(0x9E3779B97F4A7C15) + low[:, k : ROWS * BANDS : ROWS].astype(U) + U(1))
+    return np.ascontiguousarray((total >> U(32)).astype(np.uint32))
+
+
+#: A line's band hashes, two to a number, and its sketch.
+BAND_WORDS, SKETCH_WORDS = [f"b{i}" for i in range(BANDS // 2)], ["w0", "w1"]
+SIGNATURE = [*BAND_WORDS, *SKETCH_WORDS]
+
+
+def _line_batches(shortest: int = MIN_WORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in chunks(batch["text"], PIECE):
@@ -169,17 +152,16 @@ def _line_batches(bits: int, rows: int = 2, bands: int = 11, shortest: int = MIN
                 ok, a, b, fuzzy = ok[use], a[use], b[use], fuzzy[use]
                 if not len(ok):
                     continue
-                key = span_hashes(data, a, b)
-                low = np.zeros((max(bits, rows * bands), len(ok)), np.uint32)
-                if fuzzy.any():
-                    low[:, fuzzy] = minima(data, a[fuzzy], b[fuzzy], len(low))
                 # a line that is only compared exactly is in no band
-                found = band_hashes(low, rows, bands)[fuzzy]
+                signature = np.zeros((len(ok), len(SIGNATURE)), np.int64)
+                if fuzzy.any():
+                    low = minima(data, a[fuzzy], b[fuzzy])
+                    signature[fuzzy] = np.concatenate((band_hashes(low).view(np.int64), sketched(low).view(np.int64)), 1)
+                of, which = batch.slice(first, last - first), pa.array(text[ok])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, last - first).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)),
-                     pa.array(key.view(np.int64)), pa.array((chars[b] - chars[a]).astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(fuzzy))).astype(np.int32) * np.int32(bands)), pa.array(found.ravel())), *map(pa.array, sketched(low, bits))],
-                    names=["doc_id", "line", "key", "size", "bands", *word_names(bits)],
+                    [of["doc_id"].take(which), of["mark"].take(which), pa.array(number[ok].astype(np.int32)), pa.array(span_hashes(data, a, b).view(np.int64)),
+                     pa.array((chars[b] - chars[a]).astype(np.int32)), *(pa.array(c, mask=~fuzzy) for c in signature.T)],
+                    names=["doc_id", "mark", "line", "key", "size", *SIGNATURE],
                 )
 
     return run
@@ -219,24 +201,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield rest
 
 
-def word_names(bits: int) -> list[str]:
-    """Columns of a sketch: words of 64 bits."""
-    return [f"w{i}" for i in range(bits // 64)]
-
-
-def block_values(table: pa.Table | pa.RecordBatch, bits: int) -> np.ndarray:
-    """(rows, bits / 16) numbers from the columns of word_names."""
-    return np.stack([table[w].to_numpy() for w in word_names(bits)], 1).view(np.uint16)
-
-
-def _close_pairs(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs of a unit whose sketches differ in few enough bits, and the units' numbers.
+def _close_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of a unit whose sketches agree in enough cells, and the units' numbers.
 
     All units of the table at once: each row meets the d-th row after it while that is in
     its unit, for d = 1, 2, ...
     """
     n = table.num_rows
-    sims, most = [table[w].to_numpy().view(U) for w in word_names(bits)], int(bits * MOST_DIFFERENT)
+    w0, w1 = (table[w].to_numpy().view(U) for w in SKETCH_WORDS)
     new = np.zeros(n, bool)
     for k in ("bucket", "bi", "bj"):
         v = table[k].to_numpy()
@@ -250,67 +222,79 @@ def _close_pairs(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np
         d += 1
         rows = rows[rows + d < end[rows]]
         far = rows + d
-        ok = sum(np.bitwise_count(x[rows] ^ x[far]).astype(np.int16) for x in sims) <= most
+        ok = agreeing(w0[rows], w0[far]) + agreeing(w1[rows], w1[far]) >= LEAST_AGREED
         ok &= ~cross[rows] | (blk[rows] != blk[far])
-        # characters differ by no more than the edits; long lines are compared by words
-        longer = np.maximum(size[rows], size[far])
-        ok &= (longer > LONG_LINE) | (np.minimum(size[rows], size[far]) >= SIMILAR * longer - 1e-6)
+        # characters differ by no more than the edits
+        ok &= np.minimum(size[rows], size[far]) >= SIMILAR * np.maximum(size[rows], size[far]) - 1e-6
         left.append(rows[ok])
         right.append(far[ok])
     a, b = np.concatenate(left or [rows]), np.concatenate(right or [rows])
     return a, b, unit
 
 
-def _forest_batches(bits: int):
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each unit's close pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches, ["bucket", "bi", "bj"]):
-            a, b, _ = _close_pairs(table, bits)
-            if not len(a):
-                continue
-            # rows are told apart by unit, so one forest serves all units
-            place = {x: k for k, x in enumerate(np.unique(np.concatenate((a, b))).tolist())}
-            forest = Forest(len(place))
-            kept = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if forest.join(place[i], place[j])]
-            node = table["node"].to_numpy()
-            x, y = node[[i for i, _ in kept]], node[[j for _, j in kept]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
-
-    return run
-
-
-def _linked_batches(bits: int):
+    for table in whole_units(batches, ["bucket", "bi", "bj"]):
+        a, b, _ = _close_pairs(table)
+        if not len(a):
+            continue
+        # rows are told apart by unit, so one forest serves all units
+        place = {x: k for k, x in enumerate(np.unique(np.concatenate((a, b))).tolist())}
+        forest = Forest(len(place))
+        kept = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if forest.join(place[i], place[j])]
+        node = table["node"].to_numpy()
+        x, y = node[[i for i, _ in kept]], node[[j for _, j in kept]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
+
+
+def _suspect_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a bucket that are close to one of another component."""
+    for table in whole_units(batches, ["bucket", "bi", "bj"]):
+        a, b, _ = _close_pairs(table)
+        comp = table["component"].to_numpy()
+        ok = comp[a] != comp[b]
+        hit = np.unique(np.concatenate((a[ok], b[ok])))
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array(table[k].to_numpy()[hit]) for k in ("bucket", "node")], names=["bucket", "node"])
+
+
+def _linked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links between components in each unit, on the lines themselves.
 
     A pair is compared in the first band that it shares, and not once its components are
     joined in the unit; nothing but the forest leaves the task.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_units(batches, ["bucket", "bi", "bj"], BLOCK):
-            a, b, unit = _close_pairs(table, bits)
-            comp, node, bucket = (table[k].to_numpy() for k in ("component", "node", "bucket"))
-            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            ok = comp[a] != comp[b]
-            a, b = a[ok], b[ok]
-            ok = (bands[a] == bands[b]).argmax(1) == bucket[a] % MOST_BANDS if len(a) else np.zeros(0, bool)
-            a, b = a[ok], b[ok]
-            if not len(a):
-                continue
-            words, found, forests = table["words"], [], {}
-            place = {c: k for k, c in enumerate(np.unique(np.concatenate((comp[a], comp[b]))).tolist())}
-            for i, j in zip(a.tolist(), b.tolist()):
-                forest = forests.setdefault(int(unit[i]), Forest(len(place)))
-                x, y = place[comp[i]], place[comp[j]]
-                if forest.root(x) != forest.root(y) and similar_lines(words[i].as_py(), words[j].as_py()):
-                    forest.join(x, y)
+    for table in whole_units(batches, ["bucket", "bi", "bj"], BLOCK):
+        a, b, unit = _close_pairs(table)
+        comp, node, bucket = (table[k].to_numpy() for k in ("component", "node", "bucket"))
+        bands = np.stack([table[w].to_numpy() for w in BAND_WORDS], 1).view(np.uint32)
+        ok = comp[a] != comp[b]
+        a, b = a[ok], b[ok]
+        ok = (bands[a] == bands[b]).argmax(1) == bucket[a] % MOST_BANDS if len(a) else np.zeros(0, bool)
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        words = table["payload"]
+        # a joined pair of components needs no more links in a unit, nor do those it joins
+        ranked = np.lexsort((b, a, unit[a]))
+        a, b = a[ranked], b[ranked]
+        place = {c: k for k, c in enumerate(np.unique(np.concatenate((comp[a], comp[b]))).tolist())}
+        label, forests, found = [place.get(c, -1) for c in comp.tolist()], {}, []
+        for lo in range(0, len(a), 8 * PAIRS):
+            todo = []
+            for i, j in zip(a[lo : lo + 8 * PAIRS].tolist(), b[lo : lo + 8 * PAIRS].tolist()):
+                forest = forests.get(unit[i])
+                if forest is None:
+                    forest = forests[unit[i]] = Forest(len(place))
+                if forest.root(label[i]) != forest.root(label[j]):
+                    todo.append((i, j))
+            left, right = ([words[k].as_py() for k in side] for side in zip(*todo)) if todo else ([], [])
+            for (i, j), ok in zip(todo, similar_pairs(left, right, likely=False)):
+                if ok and forests[unit[i]].join(label[i], label[j]):
                     found.append((i, j))
-            if found:
-                x, y = node[[i for i, _ in found]], node[[j for _, j in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
-
-    return run
+        if found:
+            x, y = node[[i for i, _ in found]], node[[j for _, j in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
 
 
 def edit_distance(a, b) -> int:
@@ -333,46 +317,134 @@ def edit_distance(a, b) -> int:
     return score
 
 
+def _common(x, y, n: int) -> int:
+    """Length of the longest common start, of n items at most."""
+    if x[:n] == y[:n]:
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid)
+    return low
+
+
 def _trimmed(x, y):
     """Two sequences without their common start and end."""
-    i, n = 0, min(len(x), len(y))
-    while i < n and x[i] == y[i]:
-        i += 1
-    j = 0
-    while j < n - i and x[len(x) - 1 - j] == y[len(y) - 1 - j]:
-        j += 1
-    return x[i : len(x) - j], y[i : len(y) - j]
+    i = _common(x, y, min(len(x), len(y)))
+    x, y = x[i:], y[i:]
+    j = _common(x[::-1], y[::-1], min(len(x), len(y)))
+    return x[: len(x) - j], y[: len(y) - j]
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of the texts as numbers, and the texts' lengths."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(x) for x in texts])
+
+
+def edit_distances(short: list[str], long: list[str], words: int) -> np.ndarray:
+    """Edit distances of many pairs at once, bit-parallel over `words` 64-bit numbers; the
+    short strings end in the last of these."""
+    n, one, top = len(short), U(1), U(63)
+    (x, size), (y, steps) = _codes(short), _codes(long)
+    alphabet, x = np.unique(x, return_inverse=True)
+    at = np.searchsorted(alphabet, y)
+    y = np.where(alphabet[np.minimum(at, len(alphabet) - 1)] == y, at, len(alphabet))  # the last symbol is any that no short string has
+    place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    equal = np.zeros((n, len(alphabet) + 1, words), U)
+    np.bitwise_or.at(equal, (np.repeat(np.arange(n), size), x, place >> 6), one << (place & 63).astype(U))
+    text = np.full((int(steps.max()), n), len(alphabet), np.int64)
+    text[np.arange(len(y)) - np.repeat(np.cumsum(steps) - steps, steps), np.repeat(np.arange(n), steps)] = y
+    last = one << ((size - 1) & 63).astype(U)
+    up, down = np.full((words, n), ~U(0)), np.zeros((words, n), U)
+    score, row = size.copy(), np.arange(n)
+    eq, xv, xh, ph, mh, plus, minus = (np.empty(n, U) for _ in range(7))
+    for j in range(len(text)):
+        eqs = equal[row, text[j]]
+        plus[:], minus[:] = 1, 0  # what comes in from the words below
+        for w in range(words):
+            pv, mv = up[w], down[w]
+            np.bitwise_or(eqs[:, w], mv, out=xv)
+            np.bitwise_or(eqs[:, w], minus, out=eq)
+            np.bitwise_and(eq, pv, out=xh)
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            np.bitwise_or(xh, pv, out=ph)
+            np.invert(ph, out=ph)
+            ph |= mv
+            np.bitwise_and(pv, xh, out=mh)
+            if w == words - 1:
+                live = j < steps
+                score += live & ((ph & last) != 0)
+                score -= live & ((mh & last) != 0)
+            np.right_shift(ph, top, out=eq)
+            np.left_shift(ph, one, out=ph)
+            ph |= plus
+            plus, eq = eq, plus
+            np.right_shift(mh, top, out=xh)
+            np.left_shift(mh, one, out=mh)
+            mh |= minus
+            minus, xh = xh, minus
+            np.bitwise_or(xv, ph, out=pv)
+            np.invert(pv, out=pv)
+            pv |= mh
+            np.bitwise_and(ph, xv, out=mv)
+    return score
 
 
-def similar_lines(a: str, b: str, least: float = SIMILAR) -> bool:
-    """Whether two lines' edit similarity is at least `least`; long lines by words.
+#: Pairs that are compared at once, and 64-bit numbers of a line; longer ones go one by one.
+PAIRS, NUMBERS = 2048, 32
 
-    Characters are compared only where words don't settle it: no more characters change
-    than the changed words have, with a space each.
-    """
-    x, y = a.split(" "), b.split(" ")
-    long = max(len(a), len(b)) > LONG_LINE
-    most = math.floor((1 - least) * (max(len(x), len(y)) if long else max(len(a), len(b))) + 1e-9)
-    if not long and abs(len(a) - len(b)) > most:
-        return False
-    x, y = _trimmed(x, y)
-    changed = edit_distance(x, y)
-    if long:
-        return changed <= most
-    if changed * (max(map(len, (*x, *y)), default=0) + 1) <= most:
-        return True
-    x, y = _trimmed(a, b)
-    return max(len(x), len(y)) <= most or edit_distance(x, y) <= most
-
-
-def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = pa.array([similar_lines(a, b) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["src"].filter(ok), batch["dst"].filter(ok)], names=["src", "dst"])
+
+def similar_pairs(a: list[str], b: list[str], least: float = SIMILAR, likely: bool = True) -> np.ndarray:
+    """similar_lines of many pairs: those of like length are compared together. Where most are
+    likely to be similar, words are compared first, which settles many."""
+    out = np.zeros(len(a), bool)
+    open_: dict[int, list[tuple[int, int, str, str, int]]] = {}
+    for k, (x, y) in enumerate(zip(a, b)):
+        most = most_edits(x, y, least)
+        if abs(len(x) - len(y)) > most:
+            continue
+        x, y = sorted(_trimmed(x, y), key=len)
+        if len(y) <= most or not x:
+            out[k] = len(y) <= most
+        elif likely and _by_words(x, y, most):
+            out[k] = True
+        else:
+            open_.setdefault((len(x) + 63) // 64, []).append((len(y), k, x, y, most))
+    for words, pairs in open_.items():
+        pairs.sort()
+        for at in range(0, len(pairs), PAIRS):
+            part = pairs[at : at + PAIRS]
+            if words > NUMBERS or len(part) < 12 * words:
+                for _, k, x, y, most in part:
+                    out[k] = (not likely and len(x) > 64 * NUMBERS and _by_words(x, y, most)) or edit_distance(x, y) <= most
+            else:
+                _, ks, x, y, most = zip(*part)
+                out[list(ks)] = edit_distances(list(x), list(y), words) <= np.array(most)
+    return out
+
+
+def _by_words(x: str, y: str, most: int) -> bool:
+    """Whether words alone show that the distance is `most` at most: no more characters change
+    than the longest of as many words as change have, with a space each."""
+    v, w = _trimmed(x.split(" "), y.split(" "))
+    changed = edit_distance(v, w)
+    return sum(sorted(map(len, (*v, *w)), reverse=True)[:changed]) + changed <= most
+
+
+def most_edits(a: str, b: str, least: float = SIMILAR) -> int:
+    """The greatest distance at which two lines are similar."""
+    return math.floor((1 - least) * max(len(a), len(b)) + 1e-9)
+
+
+def similar_lines(a: str, b: str, least: float = SIMILAR) -> bool:
+    """Whether two lines' edit similarity, by characters, is at least `least`, at any length."""
+    return bool(similar_pairs([a], [b], least)[0])
 
 
 def _wanted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, words): the normalised text of wanted lines (numbers and nodes by document)."""
+    """(node, payload): the normalised text of wanted lines (numbers and nodes by document)."""
     for batch in batches:
         lines, nodes = batch["lines"].to_pylist(), batch["nodes"].to_pylist()
         done = 0
@@ -387,44 +459,29 @@ def _wanted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     out_n.append(node)
                     out_t.append(data[start[i] : end[i]].tobytes().decode().strip(" "))
             done += last - first
-            yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_t, pa.string())], names=["node", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), pa.array(out_t, pa.string())], names=["node", "payload"])
 
 
-def duplicate_lines(documents: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line: the lines to remove, numbered from 0; all but the first of each group.
+def _lines_of(documents: DataFrame, shortest: int) -> DataFrame:
+    """doc_id, mark, line and key of the lines to remove, and of no others.
 
-    Lines are normalised; those of `shortest` words or more or of MIN_CHARS characters count,
-    and a line without a word never does. Those of fewer than MIN_WORDS words and MIN_CHARS
-    characters only equal others exactly. Equal lines form a class,
-    represented by its first occurrence by (doc_id, line). Classes meet in the buckets of
-    bands of MinHashes of n-grams; rows follow the logarithm of the number of documents and
-    bands follow rows (bands_for); a unit of a bucket gives a spanning forest of its close pairs, which are confirmed on
-    the lines by edit similarity, each line's with its least neighbour first. Where pairs
-    fail and leave components apart, these components' lines meet once more, in bounded
-    units and with their texts, and every close pair between them is compared: no link
-    between close lines is lost, and close pairs are never listed. A class is told by 64
-    bits of its hash.
-
-    Null and empty texts have no lines that count. Rows that share a doc_id count as one
-    document, line by line.
+    mark: a hash of the text, which tells rows of one doc_id apart.
     """
-    documents = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows, bands = bands_for(documents.count() * LINES)
-    words = word_names(SKETCH)
-    kind = "doc_id long, line int, key long, size int, bands array<int>, " + ", ".join(f"{w} long" for w in words)
-    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(SKETCH, rows, bands, shortest)), kind), "lines")
+    kind = "doc_id long, mark long, line int, key long, size int, " + ", ".join(f"{w} long" for w in SIGNATURE)
+    lines = materialize(documents.mapInArrow(task("line_dedup", _line_batches(shortest)), kind), "lines")
     classes = materialize(
-        lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("size", "bands", *words)), F.count("*").alias("n")), "line-classes"
+        lines.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "mark", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("size", *SIGNATURE)), F.count("*").alias("n")), "line-classes"
     )
 
-    def bucket(first: int = 0, count: int = bands):
+    def bucket(first: int = 0, count: int = BANDS):
         """A row for each of some bands, the bucket being the band's hash and number."""
-        return F.explode(F.transform(F.slice("bands", first + 1, count), lambda h, k: h.cast("long").bitwiseAND(0xFFFFFFFF) * MOST_BANDS + k + first)).alias("bucket")
+        hashes = [F.shiftright(f"b{k // 2}", 32 * (k % 2)).bitwiseAND(0xFFFFFFFF) * MOST_BANDS + k for k in range(first, first + count)]
+        return F.explode(F.array(*hashes)).alias("bucket")
 
-    edges = None
-    for first in range(0, bands, PASS):
-        met = block_pairs(classes.select("node", "size", *words, bucket(first, PASS)), ["bucket"], "node", BLOCK)
-        part = materialize(met.mapInArrow(task("line_dedup", _forest_batches(SKETCH)), "src long, dst long").distinct(), "line-edges")
+    banded, edges = classes.where("b0 is not null"), None
+    for first in range(0, BANDS, PASS):
+        met = block_pairs(banded.select("node", "size", *SKETCH_WORDS, bucket(first, PASS)), ["bucket"], "node", BLOCK)
+        part = materialize(met.mapInArrow(task("line_dedup", _forest_batches), "src long, dst long").distinct(), "line-edges")
         edges = part if edges is None else edges.unionByName(part)
         # the pass's shuffle files go when the driver drops what refers to them
         del met
@@ -433,15 +490,14 @@ def duplicate_lines(documents: DataFrame, shortest: int = MIN_WORDS) -> DataFram
     edges = materialize(edges.distinct(), "line-edges")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        """(node, words) of a written table's nodes, read from their first occurrence."""
-        wanted = classes.join(nodes, "node", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(
+        """(node, payload) of a written table's nodes, read from their first occurrence."""
+        wanted = classes.join(nodes, "node", "left_semi").groupBy(F.col("at.doc_id").alias("_d"), F.col("at.mark").alias("_m")).agg(
             F.collect_list("at.line").alias("lines"), F.collect_list("node").alias("nodes")
         )
         wanted = materialize(wanted, "wanted-lines")
-        if wanted.count() <= BROADCAST_LINES:
-            wanted = F.broadcast(wanted)
-        texts = documents.join(wanted, "doc_id").mapInArrow(task("line_dedup", _wanted_batches), "node long, words string").dropDuplicates(["node"])
-        return materialize(texts, "line-texts")
+        wanted = F.broadcast(wanted) if small_enough(wanted, "nodes", 12) else wanted
+        texts = documents.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))).select("text", "lines", "nodes")
+        return materialize(texts.mapInArrow(task("line_dedup", _wanted_batches), "node long, payload string").dropDuplicates(["node"]), "line-texts")
 
     def apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
         a, b = (parts.select(F.col("node").alias(k), F.col("component").alias("c_" + k)) for k in ("src", "dst"))
@@ -452,54 +508,81 @@ def duplicate_lines(documents: DataFrame, shortest: int = MIN_WORDS) -> DataFram
     texts = texts_of(materialize(ends.distinct(), "line-ends"))
 
     def confirmed(edges: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("node").alias("src"), F.col("words").alias("a")), texts.select(F.col("node").alias("dst"), F.col("words").alias("b"))
-        return materialize(edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(task("line_dedup", _similar_batches), "src long, dst long"), "line-links")
+        return materialize(confirm_stars(edges, texts, "line_dedup", similar_pairs), "line-links")
 
     # every line to its least neighbour first: a group of like lines then is one component
     best = materialize(edges.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "line-best")
-    links = confirmed(best)
-    parts = materialize(connected_components(links), "line-parts")
+    parts = materialize(connected_components(confirmed(best)), "line-parts")
     other = materialize(apart(edges.join(best, ["src", "dst"], "left_anti"), parts), "line-edges")
     if not other.isEmpty():
-        links = links.unionByName(confirmed(other))
-        parts = materialize(connected_components(links), "line-parts")
+        parts = materialize(merged_components(parts, confirmed(other)), "line-parts")
     failed = materialize(apart(edges, parts), "line-failed")
     if not failed.isEmpty():
-        label = parts.select("node", "component")
         ends = failed.select(F.col("src").alias("node")).unionByName(failed.select(F.col("dst").alias("node"))).distinct()
-        touched = ends.join(label, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
-        again = classes.select("node", "size", "bands", *words).join(texts, "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        again = materialize(again.join(touched, "component", "left_semi").select("node", "size", "bands", *words, "component", "words"), "line-again")
-        again = again.select("*", bucket())
-        more = materialize(block_pairs(again, ["bucket"], "node", LINKED_BLOCK).mapInArrow(task("line_dedup", _linked_batches(SKETCH)), "src long, dst long").distinct(), "line-links")
+        touched = ends.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
+        again = banded.select("node", "size", *SIGNATURE).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        again = materialize(again.join(touched, "component", "left_semi"), "line-again").select("*", bucket())
+        suspects = materialize(block_pairs(again.select("node", "size", *SKETCH_WORDS, "component", "bucket"), ["bucket"], "node").mapInArrow(task("line_dedup", _suspect_batches), "bucket long, node long").distinct(), "line-suspects")
+        unit = again.join(suspects, ["bucket", "node"]).join(texts, "node")
+        more = materialize(block_pairs(unit, ["bucket"], "node", LINKED_BLOCK).mapInArrow(task("line_dedup", _linked_batches), "src long, dst long").distinct(), "line-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = materialize(connected_components(links), "line-parts")
+            parts = materialize(merged_components(parts, more), "line-parts")
     grouped = classes.join(parts, "node", "left").select("node", "at", "n", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
     firsts = grouped.where("linked").groupBy("component").agg(F.min("at").alias("keep"))
     # a class that stands alone keeps its first; without a second line there is nothing to remove
     several = grouped.where("linked or n > 1").join(firsts, "component", "left").select(F.col("node").alias("key"), F.coalesce("keep", "at").alias("keep"))
     several = materialize(several, "line-keep")
-    return lines.select("doc_id", "line", "key").join(several, "key").where(F.struct("doc_id", "line") != F.col("keep")).select("doc_id", "line").distinct()
+    own = F.struct("doc_id", "mark", "line")
+    return lines.select("doc_id", "mark", "line", "key").join(several, "key").where(~own.eqNullSafe(F.col("keep"))).select("doc_id", "mark", "line").distinct()
+
+
+def _marked(documents: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
+def duplicate_lines(documents: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
+    """doc_id, line: the lines to remove, numbered from 0; all but the first of each group.
+
+    Lines are normalised; those of `shortest` words or more or of MIN_CHARS characters count,
+    and a line without a word never does. Those of fewer than MIN_WORDS words and MIN_CHARS
+    characters only equal others exactly. Equal lines form a class,
+    represented by its first occurrence by (doc_id, line). Classes meet in the buckets of
+    BANDS bands of ROWS MinHashes each, of n-grams; a unit of a bucket gives a spanning forest of
+    its close pairs, which are confirmed on the lines by edit similarity, each line's with its least neighbour first. Where pairs
+    fail and leave components apart, these components' lines meet once more: those that are
+    close to a line of another component come with their texts, in bounded units, and every
+    close pair between components is compared. So no link between lines that share a band
+    and have close sketches is lost, close pairs are never listed, and which lines are
+    linked doesn't depend on the other lines of the table. A class is told by 64 bits of its hash.
+
+    Null and empty texts have no lines that count. A null doc_id is an id that comes before
+    all others. Rows that share doc_id and text count as one document; rows that share a
+    doc_id alone are ordered by a hash of the text. Ties can't occur otherwise. An empty
+    table gives an empty result.
+    """
+    return _lines_of(_marked(documents), shortest).select("doc_id", "line").distinct()
 
 
 def dedup_lines(documents: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
-    """documents with n_lines, n_removed and text without duplicate lines.
+    """documents with n_lines, n_removed and text without duplicate lines (see duplicate_lines).
 
     A text keeps its other lines, joined by line feeds as they were; a null text stays null
-    with no lines. All columns of the input stay, except that n_lines and n_removed are
-    replaced where it has them.
+    with no lines. All columns and rows of the input stay, whatever their names, except that
+    n_lines and n_removed are replaced where it has them. Removed lines' numbers are
+    broadcast where they take some tens of megabytes at most, and otherwise meet the
+    documents in a sorted join.
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    removed = duplicate_lines(documents, shortest).groupBy("doc_id").agg(F.collect_list("line").alias("_removed"))
-    removed = materialize(removed.withColumnRenamed("doc_id", "_doc"), "removed")
-    if (removed.agg(F.sum(F.size("_removed"))).first()[0] or 0) <= BROADCAST_LINES:
-        removed = F.broadcast(removed)
-    split = F.split("text", "\n")
-    joined = documents.select(*names).join(removed, F.col("doc_id") == F.col("_doc"), "left")
-    kept = let(split, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "_removed"), lambda i: ls[i]), "\n"))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumns({
-        "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long"),
-    }).withColumn("text", text)
-    return out.select(*names, "n_lines", "n_removed")
+    removed = _lines_of(_marked(documents), shortest).groupBy("doc_id", "mark").agg(F.collect_list("line").alias("lines"))
+    removed = materialize(removed, "removed")
+    removed = (F.broadcast(removed) if small_enough(removed, "lines", 4) else removed).alias("_r")
+    text = F.col("_d.text")
+    same = F.col("_d.doc_id").eqNullSafe(F.col("_r.doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_r.mark"))
+    joined = documents.alias("_d").join(removed, same, "left")
+    split, lines = F.split(text, "\n"), F.col("_r.lines")
+    kept = let(split, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), lines), lambda i: ls[i]), "\n"))
+    return joined.select(
+        *(F.when(lines.isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"_d.`{c}`") for c in names),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_removed"),
+    )
