@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Forest, block_pairs, sorted_groups
-from .common import connected_components, materialize
-from .textkernels import CHUNK, U, chunks, lower_ascii, mix, packed, shingle_sets, task
+from .blocks import Forest, block_pairs, confirm_stars, sorted_groups
+from .common import connected_components, materialize, merged_components
+from .textkernels import CHUNK, U, chunks, lower_ascii, mix, shingle_sets, task
 
 WIDTH = 5
 #: Links have 100 * intersection >= SIMILAR * union.
@@ -22,7 +22,7 @@ ROWS, BANDS = 5, 40
 #: apart in the search that follows the stars: 4 deviations below SIMILAR for 200 bins.
 LEAST_AGREED = 0.62
 #: Most ids that are broadcast, 8 bytes each.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 #: Most texts of one side of a unit in which full sets are compared.
 EXACT_BLOCK = 512
 
@@ -95,28 +95,31 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def _shared(pairs: pa.RecordBatch) -> np.ndarray:
-    """Rows of a batch of text pairs whose full shingle sets are similar enough."""
-    n, keep, first = pairs.num_rows, [], 0
-    sizes = np.maximum(np.diff(packed(pairs["a"])[1]), np.diff(packed(pairs["b"])[1]))
-    ends = np.cumsum(sizes)
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK, "right")))
-        sides = []
-        for name in ("a", "b"):
-            data, at = packed(pairs[name].slice(first, last - first))
-            sides.append(shingle_sets(lower_ascii(data), at, WIDTH))
-        (x, fx), (y, fy) = sides
-        both = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(fx[:-1], fx[1:], fy[:-1], fy[1:])])
-        keep.append(100 * both >= SIMILAR * (np.diff(fx) + np.diff(fy) - both))
-        first = last
-    return np.concatenate(keep) if keep else np.zeros(0, bool)
+def _sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted shingle set of each text."""
+    out = []
+    for _, _, data, at in chunks(pa.array(texts, pa.large_string())):
+        x, f = shingle_sets(lower_ascii(data), at, WIDTH)
+        out += [x[a:b] for a, b in zip(f[:-1], f[1:])]
+    return out
 
 
-def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = pa.array(_shared(batch))
-        yield pa.RecordBatch.from_arrays([batch["center"].filter(ok), batch["doc_id"].filter(ok)], names=["center", "doc_id"])
+def _alike(a: list[str], b: list[str]) -> np.ndarray:
+    """Which pairs of texts have full shingle sets that are similar enough. Equal neighbours
+    in a, as the texts of a star's centre, are hashed once."""
+    keep, first = np.zeros(len(a), bool), 0
+    ends = np.cumsum([len(x) for x in b])
+    while first < len(a):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4 * CHUNK, "right")))
+        heads = list(dict.fromkeys(a[first:last]))
+        of = dict(zip(heads, _sets(heads)))
+        for k, y in zip(range(first, last), _sets(b[first:last])):
+            x = of[a[k]]
+            if 100 * min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = 100 * both >= SIMILAR * (len(x) + len(y) - both)
+        first = last
+    return keep
 
 
 def _agreeing(low: np.ndarray, comp: np.ndarray, blk: np.ndarray, cross: bool, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,13 +218,13 @@ def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(edges: DataFrame, documents: DataFrame) -> DataFrame:
-    """Edges (center, doc_id), from a written table, whose full sets are similar enough; only texts that an
-    edge names are shuffled."""
+    """Edges (center, doc_id), from a written table, whose full sets are similar enough; only
+    texts that an edge names are shuffled, and a centre's once for each part of its star."""
     ids = edges.select("doc_id").unionByName(edges.select(F.col("center").alias("doc_id")))
-    documents = _texts_of(documents, ids)
-    left, right = documents.select("doc_id", F.col("text").alias("a")), documents.select(F.col("doc_id").alias("center"), F.col("text").alias("b"))
-    pairs = edges.select("center", "doc_id").join(left, "doc_id").join(right, "center").select("center", "doc_id", "a", "b")
-    return pairs.mapInArrow(task("minhash_dedup", _check_batches), "center long, doc_id long").distinct()
+    texts = _texts_of(documents, ids).select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("payload")).dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
+    edges = edges.select(F.col("center").alias("src"), F.col("doc_id").alias("dst"))
+    return confirm_stars(edges, texts, "minhash_dedup", _alike).select(F.col("src").alias("center"), F.col("dst").alias("doc_id")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -241,7 +244,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have empty sets, link with nothing and are kept; so is a row without
     a doc_id. Rows that share a
-    doc_id count as one document. Ties go to the least doc_id. Other columns are dropped.
+    doc_id count as one document, by any one of their texts. Ties go to the least doc_id. Other columns are dropped.
     An empty table gives an empty result.
     """
     documents = documents.select("doc_id", "text")
@@ -268,11 +271,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         ).select("center", "doc_id")
 
     def joined(more: DataFrame) -> None:
-        nonlocal links, parts
+        nonlocal parts
         more = materialize(more, "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = materialize(connected_components(links, "center", "doc_id"), "parts")
+            parts = materialize(merged_components(parts, more, "center", "doc_id"), "parts")
 
     def mixed() -> DataFrame:
         label = parts.select(F.col("node").alias("doc_id"), "component")
