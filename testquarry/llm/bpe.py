@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +15,11 @@ from .wordsplit import WordMemory, splitter
 
 #: Bytes of text, and token rows, that one DuckDB call handles.
 TEXT_BYTES = 1 << 20
-#: Words of one recursive query.
-QUERY_WORDS = 20_000
-#: Longer words are merged with a heap: the recursion takes a step for every merge.
-LONG_WORD = 512
+#: Words of one recursive query, and bytes unless it is a single word.
+QUERY_WORDS, QUERY_BYTES = 20_000, 1 << 18
+#: Bytes of the pieces in which longer words are merged, tokens on either side of a joint
+#: between pieces that are merged again to join them, and tokens that are decoded at once.
+PIECE, JOINT, DECODED = 64, 6, 1 << 18
 
 #: Each step joins the words' neighbouring tokens with the merges and contracts, in every
 #: word that still has one, the leftmost pair of least rank. A word ends with its last step.
@@ -44,6 +44,31 @@ SELECT word, id FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word
 ORDER BY word, pos
 """
 
+#: The same for words in which pieces don't fall into step, such as long runs of a character:
+#: a step contracts, from left to right, all pairs of least rank that don't overlap. That is
+#: the same where no merge of the new token comes before it (many); else it takes one pair.
+RUNS_SQL = """
+WITH RECURSIVE t(step, word, pos, id) AS (
+  SELECT 0, word, pos, id FROM start_rows
+  UNION ALL (
+    WITH pair AS (
+      SELECT t.*, lead(id) OVER w AS nxt, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), ranked AS (
+      SELECT p.*, m.id AS got, m.many, min(m.id) OVER (PARTITION BY p.word) AS best
+      FROM pair p LEFT JOIN merges m ON m.l = p.id AND m.r = p.nxt
+    ), run AS (
+      SELECT *, coalesce(got = best, false) AS cand, rn - row_number() OVER (PARTITION BY word, coalesce(got = best, false) ORDER BY pos) AS run FROM ranked WHERE best IS NOT NULL
+    ), chosen AS (
+      SELECT *, cand AND CASE WHEN many THEN row_number() OVER (PARTITION BY word, cand, run ORDER BY pos) % 2 = 1
+                              ELSE row_number() OVER (PARTITION BY word, cand ORDER BY pos) = 1 END AS take FROM run
+    ), kept AS (SELECT *, lag(take) OVER (PARTITION BY word ORDER BY pos) AS gone FROM chosen)
+    SELECT step + 1, word, pos, CASE WHEN take THEN best ELSE id END FROM kept WHERE gone IS DISTINCT FROM true
+  )
+)
+SELECT word, id FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) USING (word, step)
+ORDER BY word, pos
+"""
+
 DECODE_SQL = """
 SELECT doc, string_agg(tok, '' ORDER BY pos) AS txt
 FROM token_rows JOIN vocab USING (id) GROUP BY doc ORDER BY doc
@@ -64,51 +89,29 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "id"), zip(*rows))})
 
 
-def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one long word in n log n: a heap of (rank, place) over linked parts."""
-    n = len(word)
-    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-
-    def rank_at(i: int) -> int | None:
-        return ranks.get(word[i : end[after[i]]]) if after[i] < n else None
-
-    heap = [(r, i, end[i], end[i + 1]) for i in range(n - 1) if (r := rank_at(i)) is not None]
-    heapify(heap)
-    while heap:
-        _, i, stop, stop2 = heappop(heap)
-        if not alive[i] or end[i] != stop or after[i] >= n or end[after[i]] != stop2:
-            continue
-        j = after[i]
-        alive[j], end[i], after[i] = False, end[j], after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for k in (before[i], i):
-            if k >= 0 and (r := rank_at(k)) is not None:
-                heappush(heap, (r, k, end[k], end[after[k]]))
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-
 class Codec:
-    """Encoder and decoder of one worker; words already merged are remembered up to a bound."""
+    """Encoder and decoder of one worker; words already merged are remembered up to a bound in bytes."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = read_ranks(path)
-        self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        ranks = read_ranks(path)
+        self.first = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.size[i] = len(token)
         self.encode = WordMemory(splitter(pattern), self._merge).encode
-        self.merges, self.vocab = merge_table(self.ranks), pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "tok": [x.decode("latin-1") for x in self.ranks]})
+        self.merges, self.vocab = merge_table(ranks), pa.table({"id": pa.array(ranks.values(), pa.int32()), "tok": [x.decode("latin-1") for x in ranks]})
         self.db = None
 
     def open(self) -> None:
-        """A database in memory, for one partition."""
+        """A database in memory, for one partition; it never writes to disk."""
         import duckdb
 
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '200MB'")
+        for setting in ("threads = 1", "memory_limit = '200MB'", "temp_directory = ''"):
+            self.db.execute(f"SET {setting}")
         self.db.register("m_", self.merges)
         self.db.register("v_", self.vocab)
-        self.db.execute("CREATE TABLE merges AS FROM m_")
+        self.db.execute("CREATE TABLE merges AS SELECT m.*, least(coalesce(a.low, m.id + 1), coalesce(b.low, m.id + 1)) > m.id AS many FROM m_ m LEFT JOIN (SELECT l, min(id) AS low FROM m_ GROUP BY l) a ON a.l = m.id LEFT JOIN (SELECT r, min(id) AS low FROM m_ GROUP BY r) b ON b.r = m.id")
         self.db.execute("CREATE TABLE vocab AS FROM v_")
 
     def close(self) -> None:
@@ -120,34 +123,82 @@ class Codec:
         self.db.unregister(name)
         return out
 
-    def _merge(self, words: list[str]) -> list[bytes]:
-        """Ids of the words: long ones by heap, the others by the recursive query."""
-        raw = [w.encode() for w in words]
-        out = [np.array(heap_merge(b, self.ranks), "<u4").tobytes() if len(b) > LONG_WORD else b"" for b in raw]
-        short = [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]
-        for k in range(0, len(short), QUERY_WORDS):
-            part = short[k : k + QUERY_WORDS]
-            sizes = np.array([len(raw[i]) for i in part])
-            data = np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
+    def _recursion(self, raw: list[bytes], query: str = ENCODE_SQL) -> list[np.ndarray]:
+        """Ids of byte strings by the recursive query, some 20,000 strings or a megabyte at a time."""
+        if len(places := {b: i for i, b in enumerate(dict.fromkeys(raw))}) < len(raw):
+            once = self._recursion(list(places), query)
+            return [once[places[b]] for b in raw]
+        out, first = [], 0
+        ends = np.cumsum([len(b) for b in raw])
+        while first < len(raw):
+            last = min(first + QUERY_WORDS, max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + QUERY_BYTES, "right"))))
+            part = raw[first:last]
+            sizes = np.array([len(b) for b in part])
+            data = np.frombuffer(b"".join(part), np.uint8)
             word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            got = self._rows(ENCODE_SQL, "start_rows", pa.table({"word": word, "pos": pos, "id": self.first[data]}))
-            ids = got["id"].to_numpy().astype("<u4").tobytes()
-            at = np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1)) * 4
-            for i, a, b in zip(part, at[:-1].tolist(), at[1:].tolist()):
-                out[i] = ids[a:b]
+            got = self._rows(query, "start_rows", pa.table({"word": word, "pos": pos, "id": self.first[data]}))
+            at = np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1))
+            out += np.split(got["id"].to_numpy(), at[1:-1])
+            first = last
         return out
 
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of the words. Longer ones are merged in pieces that are joined afterwards."""
+        raw = [w.encode() for w in words]
+        pieces = [[b[k : k + PIECE] for k in range(0, len(b), PIECE)] for b in raw]
+        flat = iter(self._recursion([p for ps in pieces for p in ps]))
+        coded = [[next(flat) for _ in ps] for ps in pieces]
+        return [(c[0] if len(c) == 1 else self._joined(b, c)).astype("<u4").tobytes() for b, c in zip(raw, coded)]
+
+    def _joined(self, raw: bytes, coded: list[np.ndarray]) -> np.ndarray:
+        """The ids of a word from those of its pieces.
+
+        A row of tokens is a string's encoding exactly if every two neighbours are the
+        encoding of their joined bytes. So the JOINT tokens on either side of a joint are
+        merged anew: where the outermost two come out unchanged, all neighbours are right.
+        Where they don't, eight times as many are taken, up to both parts whole. Every
+        second joint is closed in a round, so that a part has one open joint at a time.
+        """
+        parts = coded
+        while len(parts) > 1:
+            at = np.concatenate(([0], np.cumsum([int(self.size[p].sum()) for p in parts])))
+            done, width = {}, JOINT
+            while open_ := [k for k in range(0, len(parts) - 1, 2) if k not in done]:
+                sides = [(parts[k][-width:], parts[k + 1][:width]) for k in open_]
+                windows = [raw[at[k + 1] - int(self.size[a].sum()) : at[k + 1] + int(self.size[b].sum())] for k, (a, b) in zip(open_, sides)]
+                for k, (a, b), w in zip(open_, sides, self._recursion(windows, ENCODE_SQL if width == JOINT else RUNS_SQL)):
+                    x, y = parts[k], parts[k + 1]
+                    if (len(a) == len(x) or w[0] == a[0]) and (len(b) == len(y) or w[-1] == b[-1]):
+                        done[k] = np.concatenate((x[: len(x) - len(a)], w, y[len(b) :]))
+                width *= 8
+            parts = [done[k] for k in sorted(done)] + parts[2 * len(done) :]
+        return parts[0]
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids: vocabulary join, then ordered aggregation."""
-        sizes = np.array([len(b) // 4 for b in ids])
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        rows = pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int32), "id": flat})
-        got = self._rows(DECODE_SQL, "token_rows", rows)
-        out = [b""] * len(ids)
-        for d, t in zip(got["doc"].to_pylist(), got["txt"].to_pylist()):
-            out[d] = t.encode("latin-1")
-        return out
+        """The bytes of each list of ids: vocabulary join, then ordered aggregation, DECODED
+        tokens at a time; a text's parts are joined, as each token decodes by itself."""
+        out, held, n = [[] for _ in ids], [], 0
+
+        def flush() -> None:
+            flat = [np.frombuffer(b, "<u4") for _, b in held]
+            sizes = np.array([len(x) for x in flat])
+            rows = pa.table({"doc": np.repeat(np.arange(len(held), dtype=np.int32), sizes), "pos": np.arange(sizes.sum(), dtype=np.int32), "id": np.concatenate(flat).astype(np.int32)})
+            got = self._rows(DECODE_SQL, "token_rows", rows)
+            for d, t in zip(got["doc"].to_pylist(), got["txt"].to_pylist()):
+                out[held[d][0]].append(t.encode("latin-1"))
+            held.clear()
+
+        for i, b in enumerate(ids):
+            for k in range(0, len(b), 4 * DECODED):
+                held.append((i, b[k : k + 4 * DECODED]))
+                n += len(held[-1][1]) // 4
+                if n >= DECODED:
+                    flush()
+                    n = 0
+        if held:
+            flush()
+        return [b"".join(parts) for parts in out]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -175,16 +226,13 @@ def encode_decode(documents: DataFrame, path: str | None = None, pattern: str |
 
     ids: binary, little-endian unsigned 32-bit integers. Without a shuffle: every worker
     splits its texts by the pattern, merges the words it has not met yet in DuckDB, and
-    joins the words' ids. A null or empty text has no ids and decodes to no bytes. Repeated
+    joins the words' ids. Memory is bounded but for one text, its ids and its decoded bytes. A null or empty text has no ids and decodes to no bytes. Repeated
     rows stay as they are; other columns are dropped; an empty table gives an empty result.
     """
-    import public_tokenizers
-
-    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    pattern = pattern or public_tokenizers.PATTERN
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        import public_tokenizers  # where the worker has it
+
+        c = codec(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         c.open()
         try:
             for batch in batches:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
+from sys import getsizeof
 
 import regex
 
 #: The byte-level pattern for texts of ASCII and letters alone, in the standard library's
 #: dialect, where \w, digits and blanks then mean the same. Branches that start with unlike
 #: characters stand in the order of their frequency.
-_PLAIN = re.compile(r""" ?[^\W\d_]++| ?[0-9]++|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\w\s]|_)++|\s+(?!\S)|\s+""").findall
+_PLAIN = re.compile(r""" ?[^\W\d_]++| ?[0-9]++|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\w\s]|_)++|\s+(?!\S)|\s+""")
+#: Words that are split off and held at once.
+MATCHES = 200_000
 _SAFE = {chr(i) for i in (9, 10, 13, *range(32, 127))}
 _UNSAFE: set[str] = set()
 
@@ -31,39 +35,74 @@ def _plain(text: str) -> bool:
     return len(letters) == len(new)
 
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """All matches of the pattern in a text. White space is Unicode's property, as in the
+def splitter(pattern: str) -> Callable[[str], Iterator[list[str]]]:
+    """All matches of the pattern in a text, MATCHES at a time. White space is Unicode's property, as in the
     tokenizer libraries; Python's own also counts four separators among the controls."""
-    exact = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-    if pattern != BYTE_LEVEL:
-        return exact
-    return lambda text: _PLAIN(text) if _plain(text) else exact(text)
+    exact = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+
+    def split(text: str) -> Iterator[list[str]]:
+        use = _PLAIN if pattern == BYTE_LEVEL and _plain(text) else exact
+        if len(text) <= MATCHES:
+            yield use.findall(text)
+            return
+        found = (m[0] for m in use.finditer(text))
+        while part := list(islice(found, MATCHES)):
+            yield part
+
+    return split
 
 
 class WordMemory:
     """Encodes texts word by word with `merge`, which is asked once for a word as long as
-    the word is remembered. Holds at most 2 * limit words, besides those of one call."""
+    the word is remembered. The words remembered, their ids and what Python adds take `most`
+    bytes at most, within a call too; a word that takes a quarter of that isn't remembered."""
 
-    def __init__(self, split: Callable[[str], list[str]], merge: Callable[[list[str]], list[bytes]], limit: int = 300_000):
-        self.split, self.merge, self.limit = split, merge, limit
+    def __init__(self, split: Callable[[str], Iterator[list[str]]], merge: Callable[[list[str]], list[bytes]], most: int = 48 << 20):
+        self.split, self.merge, self.half = split, merge, most // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) for t in texts]
+    def _ids(self, parts: list[list[str]]) -> list[bytes]:
         words = set().union(*parts)
-        need = words.difference(self.young)
-        if self.young and len(self.young) + len(need) > self.limit:
-            self.old, self.young = self.young, {}
-            need = words
-        new = []
-        for w in need:
-            if (b := self.old.get(w)) is not None:
-                self.young[w] = b
+        found, new = {}, []
+        for w in words:
+            if (b := self.young.get(w)) is not None:
+                found[w] = b
+            elif (b := self.old.get(w)) is not None:
+                found[w] = b
+                self._keep(w, b)
             else:
                 new.append(w)
         if new:
-            self.young.update(zip(new, self.merge(new)))
-        get = self.young.__getitem__
+            for w, b in zip(new, self.merge(new)):
+                found[w] = b
+                self._keep(w, b)
+        get = found.__getitem__
         return [b"".join(map(get, p)) for p in parts]
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        cost = getsizeof(word) + getsizeof(ids) + 100
+        if cost > self.half // 2:
+            return
+        if self.size + cost > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[word] = ids
+        self.size += cost
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, owners, n = [], [], 0
+        for i, text in enumerate(texts):
+            for part in self.split(text):
+                held.append(part)
+                owners.append(i)
+                n += len(part)
+                if n >= MATCHES:
+                    for k, b in zip(owners, self._ids(held)):
+                        out[k].append(b)
+                    held, owners, n = [], [], 0
+        for k, b in zip(owners, self._ids(held)):
+            out[k].append(b)
+        return [b"".join(parts) for parts in out]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from testquarry.llm import bpe, packed_tokens, wordsplit
 
@@ -46,12 +47,58 @@ def test_encode_and_decode(spark):
     assert bpe.encode_decode(documents(spark, [])).count() == 0
 
 
-def test_heap_equals_library():
+def one_by_one(word, ranks):
+    """The leftmost pair of least rank, again and again, by brute force."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    c = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    c.open()
+    yield c
+    c.close()
+
+
+def test_words_of_all_lengths(codec):
     enc, ranks = tik()
     rng = random.Random(2)
-    for n in (1, 2, 30, 600, 2000):
-        w = "".join(rng.choice("abcdeinrst") for _ in range(n))
-        assert bpe.heap_merge(w.encode(), ranks) == enc.encode_ordinary(w)
+    words = ["".join(rng.choice("abcdeinrstü") for _ in range(n)) for n in (1, 2, 30, 63, 64, 65, 128, 200, 700, 3000)]
+    words += [(c * 400)[:n] for c in ("a", "=", "é", "中", "ab", "abc", "aaab") for n in (64, 65, 190, 400)]
+    for w, ids in zip(words, codec._merge(words)):
+        got = np.frombuffer(ids, "<u4").tolist()
+        assert got == enc.encode_ordinary(w), w[:20]
+        if len(w) <= 200:
+            assert got == one_by_one(w.encode(), ranks)
+    # both forms of the recursion agree
+    short = [w.encode() for w in words if len(w) < 300]
+    assert all((a == b).all() for a, b in zip(codec._recursion(short), codec._recursion(short, bpe.RUNS_SQL)))
+
+
+def test_very_long_texts_and_words(codec):
+    import resource
+
+    enc, _ = tik()
+    base = "Some words, 12 numbers and naïve lines of text.\n" * 40
+    text = base * (32_000_000 // len(base))
+    ids = codec.encode([text])
+    want = enc.encode_ordinary(base) * 2
+    assert np.frombuffer(ids[0][: 4 * len(want)], "<u4").tolist() == want
+    assert codec.decode(ids)[0] == text.encode()
+    letters = "".join(c for c in open(__file__).read() if c.isalpha())
+    word = (letters * (5_000_000 // len(letters) + 1))[:5_000_000]
+    small = word[:20_000]
+    assert np.frombuffer(codec.encode([small])[0], "<u4").tolist() == enc.encode_ordinary(small)
+    got = codec.encode([word])
+    assert codec.decode(got)[0] == word.encode()
+    memory = codec.encode.__self__
+    assert memory.size <= memory.half and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 8 << 20
 
 
 def test_fast_split_equals_exact():
@@ -61,16 +108,17 @@ def test_fast_split_equals_exact():
     rng = random.Random(3)
     for _ in range(500):
         t = "".join(rng.choice("ab é'st12_ \n\t-.!²x \x1c") for _ in range(40))
-        assert fast(t) == exact.findall(t)
+        assert [w for part in fast(t) for w in part] == exact.findall(t)
 
 
-def test_word_memory_forgets_and_stays_right():
+def test_word_memory_is_bounded_and_stays_right():
     calls = []
-    m = wordsplit.WordMemory(str.split, lambda ws: calls.append(len(ws)) or [w.encode() for w in ws], limit=5)
-    for k in range(20):
-        texts = [f"a b w{k} v{k}", "a"]
+    m = wordsplit.WordMemory(lambda t: iter([t.split()]), lambda ws: calls.append(len(ws)) or [w.encode() for w in ws], most=4000)
+    for k in range(50):
+        texts = [f"a b w{k} v{k}", "a", "z" * 900]
         assert m.encode(texts) == [t.replace(" ", "").encode() for t in texts]
-    assert len(m.young) <= 9 and len(m.old) <= 9
+        assert m.size <= m.half and "z" * 900 not in m.young
+    assert sum(calls) < 50 * 4 + 50
 
 
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 31])
@@ -105,8 +153,7 @@ def test_written_and_read_back(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = TEXTS + [f"document number {i} " * (i % 5) for i in range(40)]
+    texts = TEXTS + ["a <|endoftext|> b", "word " * 100_000] + [f"document number {i} " * (i % 5) for i in range(40)]
     got = {r.doc_id: r for r in packed_tokens.packed_tokens(documents(spark, texts), str(tmp_path)).collect()}
     at = 0
     for i, e in enumerate(t.encode_batch([x or "" for x in texts], add_special_tokens=False)):
@@ -116,3 +163,13 @@ def test_written_and_read_back(spark, tmp_path):
         at += len(ids)
     assert list(tmp_path.glob("*.pktok"))
     assert packed_tokens.packed_tokens(documents(spark, []), str(tmp_path / "none")).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "b"), (None, None), (5, "x y"), (5, "x y"), (5, "z"), (-3, "")]
+    df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, _hash string").withColumn("_place", F.lit("p"))
+    got = packed_tokens.packed_tokens(df, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["-3", "5", "5", "5", "None", "None"]
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered[:3]] == [None, None, -3]
+    assert [r.start for r in ordered] == np.concatenate(([0], np.cumsum([r.n_tokens for r in ordered])[:-1])).tolist()
