@@ -46,6 +46,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Have the executors' heaps collected, so that they give back what the last stage took.
+
+    A few short tasks for each core call the collector. An executor that gets none only
+    keeps its memory; no result depends on it.
+    """
+    tasks = 2 * max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, however often body names it."""
     return F.transform(F.array(value), body)[0]

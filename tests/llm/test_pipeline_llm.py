@@ -84,3 +84,25 @@ def test_run_applies_all_stages(spark, docs, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(texts[i].text.encode()).hexdigest()
         assert r.n_tokens > len(re.findall(r"\S+", texts[i].text)) // 2
     assert bpe.digests(bpe.encode_decode(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_take_odd_tables(spark, docs, name):
+    """Empty tables, repeated rows, very long texts, nulls in every column and columns that a result also has."""
+    stage = dict(P.STAGES)[name]
+    schema = SCHEMA + ", lang_pred string, n_lines int, n_removed int, shard int, copies int, `a.b` int"
+    long = "kato miru sone " * 30_000
+    base = corpus()[:40]
+    rows = [(*r, "keep", 7, 8, 9, 10, i) for i, r in enumerate([*base, base[3], (None, base[4][1] + " tosone rumi", "aa", None, None, None), (500, long, "aa", "src1", len(long), "x"), (501, None, None, None, None, None)])]
+    df = spark.createDataFrame(rows, schema)
+    out = stage(spark, df, "")
+    got = out.collect()
+    if name == "byte_bpe":
+        assert len(got) == len(rows) and {r.n_tokens for r in got if r.doc_id == 501} == {0}
+    else:
+        assert out.columns == df.columns
+        assert {(r.lang_pred, r.n_lines, r.n_removed, r.shard, r.copies) for r in got} == {("keep", 7, 8, 9, 10)}
+        want = {r[-1]: r for r in rows}
+        assert all(r["a.b"] in want and r.doc_id == want[r["a.b"]][0] for r in got)
+        assert 500 in {r.doc_id for r in got} or name == "mixing"
+    assert stage(spark, df.limit(0), "").count() == 0
