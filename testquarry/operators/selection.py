@@ -6,6 +6,10 @@ rows. Limits are these operators' feature.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heapreplace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +112,21 @@ def weighted_score(weights: dict[str, float]) -> Column:
 
 
 def pack_bins(df: DataFrame, ident: str, size: str, bins: int) -> DataFrame:
-    """ident and a bin, large ones dealt first to and fro, so that bins are of like size."""
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(size), ident)) - 1
-    lap, at = F.floor(place / bins), place % bins
-    return df.select(ident, size, F.when(lap % 2 == 0, at).otherwise(bins - 1 - at).cast("int").alias("bin"))
+    """ident, size (long) and bin: each item, the largest first, goes to the bin that holds least.
+
+    Ties go to the lesser ident and the lower bin; a null size counts as 0. Each choice
+    depends on all before it, so one task sees the items, sorted, and holds the bins' loads
+    alone: sum up to repositories or files first, of which there are few.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, k) for k in range(bins)]
+        for batch in batches:
+            into = []
+            for n in batch[size].to_pylist():
+                load, k = loads[0]
+                heapreplace(loads, (load + n, k))
+                into.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(into, pa.int32())], names=[*batch.schema.names, "bin"])
+
+    items = df.select(ident, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+    return items.repartition(1).sortWithinPartitions(F.desc(size), ident).mapInArrow(run, items.schema.add("bin", "integer"))

@@ -67,9 +67,21 @@ def seq_repeat_metrics(t: Tables) -> DataFrame:
     return Q.repeat_metrics(t.events, ["user_id"], ["ts", "event_id"], "event_type")
 
 
-@query(_RUNS.format(where="WHERE event_type <> 'error'"))
+_SCOPES = {"all": "", "user": "WHERE event_type <> 'signup'", "classified": "WHERE event_type NOT IN ('signup', 'error')"}
+
+
+@query(
+    "WITH " + ", ".join(f"{k}_m AS ({_RUNS.format(where=w)})" for k, w in _SCOPES.items())
+    + " SELECT user_id, " + ", ".join(
+        f"coalesce({k}_m.{c}, 0) AS {k}_{c}" if c.endswith(("_count", "_run")) else f"{k}_m.{c} AS {k}_{c}"
+        for k in _SCOPES for c in ("event_count", "repeated_count", "max_run", "repeat_fraction", "top_signature")
+    ) + " FROM all_m LEFT JOIN user_m USING (user_id) LEFT JOIN classified_m USING (user_id)"
+)
 def seq_classified_scope(t: Tables) -> DataFrame:
-    return Q.repeat_metrics(t.events.where("event_type <> 'error'"), ["user_id"], ["ts", "event_id"], "event_type")
+    """All three scopes: errors are actions of no class, sign-ups none of the user's."""
+    e = F.col("event_type")
+    rows = t.events.withColumn("category", F.when(e == "error", "unknown_action").when(e == "signup", "setup").otherwise("click"))
+    return Q.sequence_metrics(rows, ["user_id"], ["ts", "event_id"], "event_type")
 
 
 @query("""
@@ -137,14 +149,36 @@ def counter_merge(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT user_id, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'click') AS clicks,
-       CASE WHEN count(*) FILTER (event_type = 'click') > 0 THEN count(*) FILTER (event_type = 'purchase')::DOUBLE / count(*) FILTER (event_type = 'click') END AS density
-FROM events GROUP BY user_id
+WITH c AS (SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'error')) AS assertions, count(*) FILTER (event_type = 'purchase') AS direct_assertions, 0 AS hook_assertions,
+  count(*) FILTER (event_type = 'error') AS helper_assertions, count(*) FILTER (event_type = 'purchase') AS body_assertions, count(*) FILTER (event_type IN ('click', 'view')) AS ui_actions,
+  count(*) FILTER (event_type = 'click') AS body_ui_actions, count(*) FILTER (event_type = 'signup') AS ncloc, count(*) AS statements FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN ui_actions > 0 THEN round_even(assertions::DOUBLE / ui_actions, 6) END AS assertion_density_all_actions,
+  CASE WHEN body_ui_actions > 0 THEN round_even(body_assertions::DOUBLE / body_ui_actions, 6) END AS assertion_density_test_body,
+  CASE WHEN ncloc > 0 THEN round_even(assertions::DOUBLE / ncloc, 6) END AS assertion_density_per_ncloc, round_even(assertions::DOUBLE / statements, 6) AS assertion_density_per_statement,
+  assertions = 0 AS no_assertions, assertions > 0 AND direct_assertions = 0 AND helper_assertions > 0 AS only_helper_assertions FROM c
 """)
 def density_ratio(t: Tables) -> DataFrame:
     e = F.col("event_type")
-    by = t.events.groupBy("user_id").agg(F.count_if(e == "purchase").alias("purchases"), F.count_if(e == "click").alias("clicks"))
-    return by.withColumn("density", S.ratio(F.col("purchases"), F.col("clicks")))
+    n = lambda *kinds: F.count_if(e.isin(*kinds))
+    by = t.events.groupBy("user_id").agg(
+        n("purchase", "error").alias("assertions"), n("purchase").alias("direct_assertions"), F.lit(0).alias("hook_assertions"), n("error").alias("helper_assertions"),
+        n("purchase").alias("body_assertions"), n("click", "view").alias("ui_actions"), n("click").alias("body_ui_actions"), n("signup").alias("ncloc"), F.count("*").alias("statements"),
+    )
+    columns = ["assertion_density_all_actions", "assertion_density_test_body", "assertion_density_per_ncloc", "assertion_density_per_statement", "no_assertions", "only_helper_assertions"]
+    return A.densities(by).select("user_id", *columns)
+
+
+@query("""
+WITH m AS (SELECT l_orderkey, l_linenumber, l_returnflag, min(l_linenumber) FILTER (l_linestatus = 'F' AND l_returnflag <> 'N') OVER (PARTITION BY l_orderkey) AS first_line FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM m WHERE l_returnflag = 'A' OR first_line IS NULL OR l_linenumber <= first_line
+""")
+def lifecycle_gate(t: Tables) -> DataFrame:
+    """Lines up to an order's first UI action that is no navigation, or tied to a hook."""
+    rows = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_returnflag", F.when(F.col("l_linestatus") == "F", "ui_action").otherwise("setup").alias("feature_type"),
+        F.when(F.col("l_returnflag") == "N", "navigation").otherwise("click").alias("category"),
+    )
+    return Q.lifecycle_window(rows, ["l_orderkey"], "l_linenumber", "category", F.col("l_returnflag") == "A").select("l_orderkey", "l_linenumber")
 
 
 @query("""
@@ -430,12 +464,12 @@ def call_expansion(t: Tables) -> DataFrame:
 # --- deduplication
 
 @query("""
-WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY substr(coalesce(text, ''), 1, 400) ORDER BY doc_id) AS k FROM documents)
+WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_id) AS k FROM documents)
 SELECT doc_id, lang, source FROM r WHERE k = 1
 """)
 def keep_first_dedupe(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "lang", "source", S.clip(F.col("text"), "dedupe").alias("key"))
-    return D.keep_first(rows, ["key"], ["doc_id"]).drop("key")
+    rows = t.documents.select("doc_id", "lang", "source", F.sha2("text", 256).alias("key"))
+    return D.keep_first(rows, ["key", "lang", "source"], ["doc_id"]).drop("key")
 
 
 @query("""
@@ -518,11 +552,17 @@ def stability_panel(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS k FROM supplier)
-SELECT s_suppkey, s_acctbal, (CASE WHEN (k // 8) % 2 = 0 THEN k % 8 ELSE 7 - k % 8 END)::INTEGER AS bin FROM r
+WITH RECURSIVE i AS (SELECT s_suppkey, size, row_number() OVER (ORDER BY size DESC, s_suppkey) AS k FROM (SELECT s_suppkey, round((s_acctbal + 1000) * 100)::BIGINT AS size FROM supplier)),
+r(k, s_suppkey, size, bin, loads) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL
+  SELECT i.k, i.s_suppkey, i.size, (list_position(loads, list_min(loads)) - 1)::INTEGER,
+         list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + i.size ELSE x END)
+  FROM r JOIN i ON i.k = r.k + 1)
+SELECT s_suppkey, size, bin FROM r WHERE k > 0
 """)
 def bin_packing(t: Tables) -> DataFrame:
-    return P.pack_bins(t.supplier, "s_suppkey", "s_acctbal", 8)
+    return P.pack_bins(t.supplier.select("s_suppkey", F.round((F.col("s_acctbal") + 1000) * 100).cast("long").alias("size")), "s_suppkey", "size", 8)
 
 
 # --- sets
@@ -570,19 +610,37 @@ def url_extract(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.size(S.static_urls(html)).cast("long").alias("urls"), S.has_dynamic_url(html).alias("dynamic"), S.path_class(F.col("url")).alias("path_class"))
 
 
-_CALL = "lower(concat_ws(' ', coalesce(source, ''), coalesce(text, '')))"
+#: A call for every rule of the classifiers, and some that no rule knows.
+CALLS = [
+    "page.goto('/a')", "expect(page).toHaveURL('/b') // after page.goto('/b')", "page.getByRole('button')", "el.click()", "el.fill('x')", "page.keyboard.press('Enter')",
+    "el.selectOption('x')", "el.hover()", "el.dragTo(x)", "el.setInputFiles('f')", "window.scrollBy(0, 9)", "page.waitForTimeout(5)", "page.screenshot()", "foo()",
+    "expect(a).toBeVisible()", "t.expect(a.exists).ok()", "expect(a).toHaveValue('1')", "expect(location.href).to.eq('/x')", "the hidden panel", "expect(a).toHaveText('b')",
+    "expect(x).haveUrl('/y')", "expect(b).toHaveAttribute('c')", "expect(list).toHaveLength(2)", "expect(p).toMatchSnapshot()", "check(a11y)", "expect(response.ok())",
+    "cy.request('/seed')", "cy.intercept('/api')", "page.setViewportSize(1)", "cy.clock()", "cy.fixture('u')", "afterEach(done)", "beforeAll(go)", "axios.get(u)",
+    "db.seed()", "login(user)", "browser.newContext()", "cleanup()", "helper(x)", "browser.url('/z')",
+]
+
+
+def _calls(t: Tables) -> DataFrame:
+    """event_id, name and raw: a call for each event."""
+    place = (F.col("event_id") % len(CALLS) + 1).cast("int")
+    return t.events.select("event_id", F.col("user_id").cast("string").alias("name"), F.element_at(F.array(*map(F.lit, CALLS)), place).alias("raw"))
+
+
+_CALLS_SQL = "SELECT event_id, lower(user_id || ' ' || ([" + ", ".join("'" + c.replace("'", "''") + "'" for c in CALLS) + f"])[event_id % {len(CALLS)} + 1]) AS s FROM events"
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, {_CALL} AS s FROM documents)
-SELECT doc_id,
+WITH s AS ({_CALLS_SQL})
+SELECT event_id,
   CASE WHEN regexp_matches(s, '\\.goto\\s*\\(|\\bcy\\.visit\\s*\\(|\\bnavigateto\\s*\\(|\\bbrowser\\.url\\s*\\(') AND NOT regexp_matches(s, '\\b(tohaveurl|waitforurl)\\b') THEN 'navigation'
        WHEN contains(s, 'getby') OR contains(s, 'locator') OR contains(s, 'cy.get') OR contains(s, 'selector(') OR contains(s, 'findby') THEN 'locator_query'
        WHEN contains(s, 'click') THEN 'click' WHEN contains(s, 'fill') OR contains(s, 'type') OR contains(s, 'setvalue') THEN 'text_input'
        WHEN contains(s, 'press') OR contains(s, 'keyboard') THEN 'keyboard_input' WHEN contains(s, 'select') THEN 'selection' WHEN contains(s, 'hover') THEN 'hover'
        WHEN contains(s, 'drag') THEN 'drag_drop' WHEN contains(s, 'upload') OR contains(s, 'setinputfiles') THEN 'file_upload' WHEN contains(s, 'scroll') THEN 'scroll'
        WHEN contains(s, 'wait') THEN 'wait_synchronization' WHEN contains(s, 'screenshot') THEN 'visual_action' ELSE 'unknown_action' END AS interaction,
-  CASE WHEN contains(s, 'tobevisible') OR contains(s, 'tobehidden') THEN 'visibility_oracle' WHEN contains(s, 'tohavevalue') OR contains(s, 'tobenull') OR contains(s, 'tobeundefined') OR contains(s, 'tobenan') THEN 'element_state_oracle'
+  CASE WHEN contains(s, 'tobevisible') OR contains(s, 'tobehidden') OR regexp_matches(s, '\\.exists\\s*\\)?\\s*\\.\\s*(not\\s*\\.\\s*)?(ok|notok)\\b') AND regexp_matches(s, '\\.exists\\s*\\.') THEN 'visibility_oracle' WHEN contains(s, 'tohavevalue') OR contains(s, 'tobenull') OR contains(s, 'tobeundefined') OR contains(s, 'tobenan') THEN 'element_state_oracle'
+       WHEN regexp_matches(s, '\\.href\\b') AND regexp_matches(s, '\\b(to\\.eq|to\\.equal)|expect\\s*\\([^)]*\\.href') THEN 'url_navigation_oracle'
        WHEN regexp_matches(s, '\\b(visible|hidden)\\b') THEN 'visibility_oracle' WHEN contains(s, 'tohavetext') OR contains(s, 'contain') OR contains(s, 'gettext') THEN 'text_content_oracle'
        WHEN contains(s, 'haveurl') OR regexp_matches(s, '\\burl\\b') THEN 'url_navigation_oracle' WHEN contains(s, 'tohaveattribute') OR contains(s, 'disabled') OR contains(s, 'enabled') THEN 'element_state_oracle'
        WHEN contains(s, 'length') OR contains(s, 'count') THEN 'count_or_length_oracle' WHEN contains(s, 'snapshot') OR contains(s, 'screenshot') THEN 'visual_snapshot_oracle'
@@ -590,22 +648,20 @@ SELECT doc_id,
 FROM s
 """)
 def classify_text(t: Tables) -> DataFrame:
-    return t.documents.select(
-        "doc_id", C.interaction_category(F.col("source"), F.col("text")).alias("interaction"), C.oracle_category(F.col("source"), F.col("text")).alias("oracle")
-    )
+    return _calls(t).select("event_id", C.interaction_category(F.col("name"), F.col("raw")).alias("interaction"), C.oracle_category(F.col("name"), F.col("raw")).alias("oracle"))
 
 
-@query("""
-SELECT page_id, CASE WHEN contains(s, 'intercept') OR contains(s, 'page.route') THEN 'network_mock' WHEN contains(s, 'viewport') OR contains(s, 'setcookie') OR contains(s, 'clearcookie') THEN 'browser_context_control'
+@query(f"""
+SELECT event_id, CASE WHEN contains(s, 'intercept') OR contains(s, 'page.route') THEN 'network_mock' WHEN contains(s, 'viewport') OR contains(s, 'setcookie') OR contains(s, 'clearcookie') THEN 'browser_context_control'
   WHEN contains(s, 'cy.clock') OR contains(s, '.clock(') THEN 'time_control' WHEN contains(s, 'fixture') AND regexp_matches(s, 'cy\\.|fixture\\(') THEN 'framework_fixture'
   WHEN regexp_matches(s, '\\bafter(each|all)?\\b') THEN 'teardown_cleanup' WHEN regexp_matches(s, '\\bbefore(each|all)?\\b') THEN 'hook_setup'
   WHEN contains(s, 'cy.request') OR contains(s, 'fetch(') OR contains(s, 'axios') THEN 'api_seed_setup' WHEN contains(s, 'database') OR contains(s, 'db.') OR contains(s, 'sequelize') THEN 'database_seed_setup'
   WHEN contains(s, 'login') OR contains(s, 'session') OR contains(s, 'auth') THEN 'auth_session_setup' WHEN contains(s, 'newcontext') OR regexp_matches(s, '\\bbrowser\\.url') THEN 'browser_context_setup'
   WHEN contains(s, 'teardown') OR contains(s, 'cleanup') THEN 'teardown_cleanup' WHEN contains(s, 'helper') THEN 'helper_setup' ELSE 'unknown_setup' END AS setup
-FROM (SELECT page_id, lower(concat_ws(' ', url, html)) AS s FROM pages)
+FROM ({_CALLS_SQL})
 """)
 def classify_setup(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", C.setup_category(F.col("url"), F.col("html"), F.lit(""), F.lit("")).alias("setup"))
+    return _calls(t).select("event_id", C.setup_category(F.col("name"), F.col("raw"), F.lit(""), F.lit("")).alias("setup"))
 
 
 @query("""

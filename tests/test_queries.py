@@ -53,3 +53,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_classifier_queries_meet_every_rule(spark, duck):
+    found = duck.execute(core.oracle_sql()["classify_text"]).df()
+    assert found["interaction"].nunique() >= 13 and found["oracle"].nunique() >= 10
+    assert duck.execute(core.oracle_sql()["classify_setup"]).df()["setup"].nunique() >= 11
+
+
+def test_greedy_packing_is_not_a_deal_to_and_fro(spark):
+    from testquarry.operators.selection import pack_bins
+
+    rows = spark.createDataFrame([("a", 100), ("b", 1), ("c", 1), ("d", 1), ("e", None)], "repo string, bytes long")
+    got = {r.repo: r.bin for r in pack_bins(rows, "repo", "bytes", 2).collect()}
+    assert got == {"a": 0, "b": 1, "c": 1, "d": 1, "e": 1}
+    assert pack_bins(rows.limit(0), "repo", "bytes", 2).count() == 0
