@@ -55,7 +55,7 @@ def splitter(pattern: str) -> Callable[[str], Iterator[list[str]]]:
 class WordMemory:
     """Encodes texts word by word with `merge`, which is asked once for a word as long as
     the word is remembered. The words remembered, their ids and what Python adds take `most`
-    bytes at most, within a call too; a word that takes a quarter of that isn't remembered."""
+    bytes at most, besides those of the last MATCHES words; a word that takes a quarter of that isn't remembered."""
 
     def __init__(self, split: Callable[[str], Iterator[list[str]]], merge: Callable[[list[str]], list[bytes]], most: int = 48 << 20):
         self.split, self.merge, self.half = split, merge, most // 2
@@ -65,30 +65,22 @@ class WordMemory:
 
     def _ids(self, parts: list[list[str]]) -> list[bytes]:
         words = set().union(*parts)
-        found, new = {}, []
-        for w in words:
-            if (b := self.young.get(w)) is not None:
-                found[w] = b
-            elif (b := self.old.get(w)) is not None:
-                found[w] = b
-                self._keep(w, b)
-            else:
-                new.append(w)
+        found = {w: self.old.get(w) for w in words.difference(self.young)}
+        new = [w for w, b in found.items() if b is None]
         if new:
-            for w, b in zip(new, self.merge(new)):
-                found[w] = b
-                self._keep(w, b)
-        get = found.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def _keep(self, word: str, ids: bytes) -> None:
-        cost = getsizeof(word) + getsizeof(ids) + 100
-        if cost > self.half // 2:
-            return
-        if self.size + cost > self.half:
+            found.update(zip(new, self.merge(new)))
+        self.young.update(found)
+        get = self.young.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        for w, b in found.items():
+            cost = getsizeof(w) + getsizeof(b) + 100
+            if cost > self.half // 2:
+                del self.young[w]
+            else:
+                self.size += cost
+        if self.size > self.half:
             self.old, self.young, self.size = self.young, {}, 0
-        self.young[word] = ids
-        self.size += cost
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
