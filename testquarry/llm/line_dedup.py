@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -297,8 +299,9 @@ def _linked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
 
 
-def edit_distance(a, b) -> int:
-    """Edits between two sequences, bit-parallel over whole numbers of len(a) bits."""
+def edit_distance(a, b, most: int | None = None) -> int:
+    """Edits between two sequences, bit-parallel over whole numbers of len(a) bits; some number
+    above `most`, where that is given, once the items left can't bring the edits down to it."""
     if not a or not b:
         return len(a) + len(b)
     places: dict = {}
@@ -306,7 +309,9 @@ def edit_distance(a, b) -> int:
         places[x] = places.get(x, 0) | 1 << i
     full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
     up, down = full, 0
-    for x in b:
+    for k, x in enumerate(b):
+        if most is not None and not k % LOOK and score - (len(b) - k) > most:
+            return score
         eq = places.get(x, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
@@ -336,71 +341,111 @@ def _trimmed(x, y):
     return x[: len(x) - j], y[: len(y) - j]
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All characters of the texts as numbers, and the texts' lengths."""
-    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(x) for x in texts])
+def _codes(items: Sequence[str] | Sequence[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters or numbers of the items as numbers, and the items' lengths."""
+    size = np.array([len(x) for x in items])
+    if isinstance(items[0], str):
+        return np.frombuffer("".join(items).encode("utf-32-le"), np.uint32).astype(np.int64), size
+    return np.fromiter(chain.from_iterable(items), np.int64, int(size.sum())), size
 
 
-def edit_distances(short: list[str], long: list[str], words: int) -> np.ndarray:
-    """Edit distances of many pairs at once, bit-parallel over `words` 64-bit numbers; the
-    short strings end in the last of these."""
+def edit_distances(short: Sequence, long: Sequence, most: np.ndarray) -> np.ndarray:
+    """Edit distances of many pairs at once, bit-parallel over rows of up to 63 64-bit
+    numbers; a pair is two strings or two lists of numbers below 2**32, none of them empty.
+
+    A pair whose characters left can't bring its distance down to `most` may be given up:
+    what is returned for it is then some number above `most`.
+    """
     n, one, top = len(short), U(1), U(63)
     (x, size), (y, steps) = _codes(short), _codes(long)
-    alphabet, x = np.unique(x, return_inverse=True)
-    at = np.searchsorted(alphabet, y)
-    y = np.where(alphabet[np.minimum(at, len(alphabet) - 1)] == y, at, len(alphabet))  # the last symbol is any that no short string has
+    words = int(size.max() + 63) // 64
+    of_x, of_y = np.repeat(np.arange(n), size), np.repeat(np.arange(n), steps)
+    # a row of bits for each character of each short string, and a last one for all others
+    own, x = np.unique(of_x << 32 | x, return_inverse=True)
     place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
-    equal = np.zeros((n, len(alphabet) + 1, words), U)
-    np.bitwise_or.at(equal, (np.repeat(np.arange(n), size), x, place >> 6), one << (place & 63).astype(U))
-    text = np.full((int(steps.max()), n), len(alphabet), np.int64)
-    text[np.arange(len(y)) - np.repeat(np.cumsum(steps) - steps, steps), np.repeat(np.arange(n), steps)] = y
-    last = one << ((size - 1) & 63).astype(U)
-    up, down = np.full((words, n), ~U(0)), np.zeros((words, n), U)
-    score, row = size.copy(), np.arange(n)
-    eq, xv, xh, ph, mh, plus, minus = (np.empty(n, U) for _ in range(7))
+    equal = np.zeros((len(own) + 1, words), U)
+    np.bitwise_or.at(equal, (x, place >> 6), one << (place & 63).astype(U))
+    y = of_y << 32 | y
+    at = np.searchsorted(own, y)
+    y = np.where(own[np.minimum(at, len(own) - 1)] == y, at, len(own))
+    text = np.full((int(steps.max()), n), len(own), np.int32)
+    text[np.arange(len(y)) - np.repeat(np.cumsum(steps) - steps, steps), of_y] = y
+    end, last = (size - 1) >> 6, one << ((size - 1) & 63).astype(U)
+    up, down = np.full((n, words), ~U(0)), np.zeros((n, words), U)
+    out, score, row, line = np.empty(n, np.int64), size.astype(np.int64), np.arange(n), np.arange(n)
+    number = np.arange(words, dtype=U)
+    power = one << number
     for j in range(len(text)):
-        eqs = equal[row, text[j]]
-        plus[:], minus[:] = 1, 0  # what comes in from the words below
-        for w in range(words):
-            pv, mv = up[w], down[w]
-            np.bitwise_or(eqs[:, w], mv, out=xv)
-            np.bitwise_or(eqs[:, w], minus, out=eq)
-            np.bitwise_and(eq, pv, out=xh)
-            xh += pv
-            xh ^= pv
-            xh |= eq
-            np.bitwise_or(xh, pv, out=ph)
-            np.invert(ph, out=ph)
-            ph |= mv
-            np.bitwise_and(pv, xh, out=mh)
-            if w == words - 1:
-                live = j < steps
-                score += live & ((ph & last) != 0)
-                score -= live & ((mh & last) != 0)
-            np.right_shift(ph, top, out=eq)
-            np.left_shift(ph, one, out=ph)
-            ph |= plus
-            plus, eq = eq, plus
-            np.right_shift(mh, top, out=xh)
-            np.left_shift(mh, one, out=mh)
-            mh |= minus
-            minus, xh = xh, minus
-            np.bitwise_or(xv, ph, out=pv)
-            np.invert(pv, out=pv)
-            pv |= mh
-            np.bitwise_and(ph, xv, out=mv)
-    return score
+        if not j % LOOK:
+            going = (steps > j) & (score - (steps - j) <= most)
+            if 4 * np.count_nonzero(going) <= 3 * len(row):
+                out[row] = score
+                row, score, steps, most, end, last, up, down = (v[going] for v in (row, score, steps, most, end, last, up, down))
+                line = np.arange(len(row))
+                if not len(row):
+                    break
+        eq = equal[text[j, row]]
+        xh = eq & up
+        total = xh + up
+        if words > 1:
+            # carries between the 64-bit numbers: those that overflow, and those that hand one on
+            made, passed = (total < xh) @ power, (total == ~U(0)) @ power
+            total += (((made << one) + passed) ^ passed)[:, None] >> number & one
+        total ^= up
+        total |= eq
+        eq |= down
+        ph = total | up
+        np.invert(ph, out=ph)
+        ph |= down
+        mh = np.bitwise_and(up, total, out=total)
+        live = j < steps
+        score += live & ((ph[line, end] & last) != 0)
+        score -= live & ((mh[line, end] & last) != 0)
+        over, under = ph[:, :-1] >> top, mh[:, :-1] >> top
+        ph <<= one
+        mh <<= one
+        ph[:, 1:] |= over
+        mh[:, 1:] |= under
+        ph[:, 0] |= one
+        np.bitwise_or(eq, ph, out=up)
+        np.invert(up, out=up)
+        up |= mh
+        np.bitwise_and(ph, eq, out=down)
+    out[row] = score
+    return out
 
 
-#: Pairs that are compared at once, and 64-bit numbers of a line; longer ones go one by one.
-PAIRS, NUMBERS = 2048, 32
+#: Pairs that are compared at once, and 64-bit numbers of a line; longer ones go one by one,
+#: as do fewer than FEW pairs. Steps after which it is looked which pairs are settled.
+PAIRS, NUMBERS, FEW, LOOK = 2048, 32, 24, 32
+
+
+def distances(pairs: list[tuple[Sequence, Sequence, int]]) -> np.ndarray:
+    """Edit distances of pairs (shorter, longer, most), those of like length together; above
+    `most` some number above it."""
+    out = np.array([len(y) for _, y, _ in pairs], np.int64)
+    order = sorted((-(-len(x) // 64), len(y), k) for k, (x, y, _) in enumerate(pairs) if len(x))
+    sizes, at = [o[0] for o in order], 0
+    while at < len(order):
+        # those of up to twice as many numbers go along
+        to = min(at + max(FEW, 8 * PAIRS // sizes[at]), at + PAIRS, bisect_right(sizes, 2 * sizes[at]))
+        if sizes[to - 1] > NUMBERS or to - at < FEW:
+            to = min(to, bisect_right(sizes, sizes[at]))
+            for _, _, k in order[at:to]:
+                out[k] = edit_distance(*pairs[k])
+        else:
+            ks = [o[2] for o in order[at:to]]
+            short, long, most = zip(*(pairs[k] for k in ks))
+            out[ks] = edit_distances(short, long, np.array(most))
+        at = to
+    return out
 
 
 def similar_pairs(a: list[str], b: list[str], least: float = SIMILAR, likely: bool = True) -> np.ndarray:
-    """similar_lines of many pairs: those of like length are compared together. Where most are
-    likely to be similar, words are compared first, which settles many."""
+    """similar_lines of many pairs. Where most are likely to be similar, and for the longest
+    lines, words are compared first, which settles many."""
     out = np.zeros(len(a), bool)
-    open_: dict[int, list[tuple[int, int, str, str, int]]] = {}
+    rest: list[tuple[int, str, str, int]] = []
     for k, (x, y) in enumerate(zip(a, b)):
         most = most_edits(x, y, least)
         if abs(len(x) - len(y)) > most:
@@ -408,29 +453,28 @@ def similar_pairs(a: list[str], b: list[str], least: float = SIMILAR, likely: bo
         x, y = sorted(_trimmed(x, y), key=len)
         if len(y) <= most or not x:
             out[k] = len(y) <= most
-        elif likely and _by_words(x, y, most):
-            out[k] = True
         else:
-            open_.setdefault((len(x) + 63) // 64, []).append((len(y), k, x, y, most))
-    for words, pairs in open_.items():
-        pairs.sort()
-        for at in range(0, len(pairs), PAIRS):
-            part = pairs[at : at + PAIRS]
-            if words > NUMBERS or len(part) < 12 * words:
-                for _, k, x, y, most in part:
-                    out[k] = (not likely and len(x) > 64 * NUMBERS and _by_words(x, y, most)) or edit_distance(x, y) <= most
-            else:
-                _, ks, x, y, most = zip(*part)
-                out[list(ks)] = edit_distances(list(x), list(y), words) <= np.array(most)
+            rest.append((k, x, y, most))
+    asked = [r for r in rest if likely or len(r[1]) > 64 * NUMBERS]
+    out[np.array([r[0] for r in asked], np.int64)] = _by_words([r[1:] for r in asked])
+    rest = [r for r in rest if not out[r[0]]]
+    out[np.array([r[0] for r in rest], np.int64)] = distances([r[1:] for r in rest]) <= np.array([r[3] for r in rest], np.int64)
     return out
 
 
-def _by_words(x: str, y: str, most: int) -> bool:
-    """Whether words alone show that the distance is `most` at most: no more characters change
-    than the longest of as many words as change have, with a space each."""
-    v, w = _trimmed(x.split(" "), y.split(" "))
-    changed = edit_distance(v, w)
-    return sum(sorted(map(len, (*v, *w)), reverse=True)[:changed]) + changed <= most
+def _by_words(pairs: list[tuple[str, str, int]]) -> list[bool]:
+    """Whether words alone show that a pair's distance is its `most` at most: no more characters
+    change than the longest of as many words as change have, with a space each."""
+    ids: dict[str, int] = {}
+    sides, todo = [], []
+    for x, y, most in pairs:
+        v, w = sorted(_trimmed(x.split(" "), y.split(" ")), key=len)
+        sides.append((v, w))
+        todo.append(([ids.setdefault(t, len(ids)) for t in v], [ids.setdefault(t, len(ids)) for t in w], most))
+    found = []
+    for (v, w), (_, _, most), changed in zip(sides, todo, distances(todo).tolist()):
+        found.append(changed <= most and sum(sorted(map(len, (*v, *w)), reverse=True)[:changed]) + changed <= most)
+    return found
 
 
 def most_edits(a: str, b: str, least: float = SIMILAR) -> int:

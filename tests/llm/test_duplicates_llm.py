@@ -149,6 +149,26 @@ def distance(a, b):
     return row[-1]
 
 
+def test_distances_of_many_pairs_equal_the_plain_ones():
+    rng = random.Random(9)
+    pairs = []
+    for k in range(300):
+        a = "".join(rng.choice("abc 語") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 150])))
+        b = "".join(rng.choice("abz") if rng.random() < 0.1 * (k % 5) else c for c in a if rng.random() > 0.1) + "é" * (k % 3)
+        a, b = sorted((a, b), key=len)
+        pairs.append((a, b, len(b) // 4))
+    pairs.append(("", "", 0))
+    plain = [distance(a, b) for a, b, _ in pairs]
+    assert line_dedup.distances([(a, b, 10**6) for a, b, _ in pairs]).tolist() == plain
+    assert line_dedup.distances([([*map(ord, a)], [*map(ord, b)], 10**6) for a, b, _ in pairs]).tolist() == plain
+    # above `most` any number above it will do
+    for (_, _, most), d, got in zip(pairs, plain, line_dedup.distances(pairs).tolist()):
+        assert got == d if d <= most else got > most
+    for a, b, most in pairs:
+        assert (line_dedup.edit_distance(a, b, most) <= most) == (distance(a, b) <= most)
+    assert line_dedup.distances([]).tolist() == [] and line_dedup.similar_pairs([], []).tolist() == []
+
+
 def test_edit_distance_and_similarity():
     rng = random.Random(6)
     for _ in range(300):
